@@ -1,14 +1,79 @@
-"""The corpus pipeline: documents in, packed training bins out."""
+"""The corpus pipeline: documents in, packed training bins out.
+
+Five stages, each over all that the one before kept; the stage functions take
+(spark, docs, sf_dir) and all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tomolith.llm import native, op1_lines, op2_decontaminate, op3_quality, op6_packing, op10_jaccard
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return op3_quality.with_verdict(docs).where("_kept").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go, and documents that held nothing else."""
+    out = op1_lines.remove_boilerplate(docs)
+    touched = F.col("_n_removed") > 0
+    kept = out.where(~touched | (native.without_white(F.col("_kept")) != ""))
+    n_chars = F.when(touched, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
+    return kept.select("doc_id", F.when(touched, F.col("_kept")).otherwise(F.col("text")).alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays (of rows with that id, the one with the least text hash)."""
+    groups = op10_jaccard.near_duplicates(docs)
+    last = F.lit(2**63 - 1)
+    key = lambda c: F.coalesce(F.col(c), last)
+    linked = groups.where("n_shingles > 0").groupBy(key("component_id").alias("c")).agg(F.min(F.struct(key("id").alias("k"), F.col("th").alias("t"))).alias("first")).select("first.k", "first.t")
+    alone = groups.where("n_shingles = 0").select(key("id").alias("k"), F.col("th").alias("t")).distinct()
+    keyed = docs.withColumns({"k": key("doc_id"), "t": F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = keyed.join(linked.unionByName(alone), ["k", "t"], "left_semi")
+    return kept.withColumn("_row", F.row_number().over(Window.partitionBy("k", "t").orderBy("source"))).where("_row = 1").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    pairs = op2_decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = pairs.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op6_packing.packed(docs).withColumnRenamed("id", "doc_id")
+
 
-import tomolith.llm  # noqa: F401
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
 
-STAGES: list = []
+#: Near duplicates and packing are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; every result but the last is written to the shared folder and read again."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            out.write.parquet(f"{folder}/{k}")
+            out = docs = spark.read.parquet(f"{folder}/{k}")
+    return out

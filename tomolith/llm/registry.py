@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_substrings, op9_suffix_array
+from . import op1_lines, op2_decontaminate, op3_quality, op4_substrings, op5_html, op6_packing, op7_chat, op8_urls, op9_suffix_array, op10_jaccard
 
-MODULES = (op4_substrings, op9_suffix_array)
+MODULES = (op1_lines, op2_decontaminate, op3_quality, op4_substrings, op5_html, op6_packing, op7_chat, op8_urls, op9_suffix_array, op10_jaccard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
