@@ -88,7 +88,8 @@ def same_prefix(b: np.ndarray, i: np.ndarray, j: np.ndarray, size: int) -> np.nd
     """Whether b[i:i+size] == b[j:j+size], pair by pair; pairs that differ early drop out early."""
     words, out = eights(b), np.zeros(len(i), bool)
     left = np.arange(len(i))
-    for k in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
-        left = left[words[i[left] + k] == words[j[left] + k]]
+    for k in range(0, size, 8):
+        drop = np.uint64(8 * max(0, k + 8 - size))  # bits of the last word beyond the prefix
+        left = left[words[i[left] + k] >> drop == words[j[left] + k] >> drop]
     out[left] = True
     return out
