@@ -183,7 +183,7 @@ _add(
     "dft_2d", lambda s, d: OF.fft(T.image(s, d), OF.ORTHO).df.select("idx", (F.round("val.re", 7) + 0.0).alias("re")),
     f"SELECT k AS idx, round(sum(val * cos(2 * pi() * ((k % 32) * (idx % 32) + (k // 32) * (idx // 32)) / 32)) / 32, 7) + 0.0 AS re FROM {IMAGE} x, range(1024) t(k) GROUP BY k",
 )
-_add("shearlet_roundtrip", lambda s, d: shown((lambda op, x: op.apply_adjoint(op.apply(x)))(OF.ShearletTransform(Grid((16, 16))), T.image(s, d)._range(0, Grid((16, 16))))), f"SELECT idx, val FROM {IMAGE} WHERE idx < 256")
+_add("shearlet_roundtrip", lambda s, d: shown((lambda op, x: op.apply_adjoint(op.apply(x)))(OF.ShearletTransform(Grid((16, 16))), T.image(s, d)._range(0, Grid((16, 16))).as_complex()).real()), f"SELECT idx, val FROM {IMAGE} WHERE idx < 256")
 
 
 # --- functionals -------------------------------------------------------------------------------
