@@ -11,8 +11,9 @@
    and whether all below are already connected. The tree is traversed against itself;
    a pair of nodes is pruned when sizes cannot fit, when the largest possible overlap is
    too small, or when it could add no new connection; surviving leaves are compared
-   exactly. Groups over a memory budget are split into blocks: every block alone, then
-   each with the first, then, where parts are still unconnected, all pairs of blocks.
+   exactly. Groups over a memory budget are split into blocks: every block alone, then, where
+   parts are still unconnected, one class of each part, each block with the first, and
+   at last all pairs of blocks.
 4. Components of the links found, then of all documents.
 
 Words: maximal runs of characters other than space and \\t..\\r, A-Z lower-cased. A set
@@ -261,10 +262,9 @@ def _meetings(read: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "cid").mapInArrow(meet, "a long, b long").distinct()
 
 
-def _sets(read: DataFrame, members: DataFrame) -> DataFrame:
-    """(cid, body) of the classes of ``members`` (cid, rep), read again from their representatives."""
-    name = F.xxhash64("rep")
-    bitmap = A.bitmap_of(members.select(name.alias("key")))
+def _bodies(read: DataFrame, units: DataFrame) -> DataFrame:
+    """``units`` (cid, rep, unit, side, label) with the sets (body), read again from the representatives."""
+    bitmap = A.bitmap_of(units.select(F.xxhash64("rep").alias("key")))
     shared = read.sparkSession.sparkContext.broadcast(bitmap)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,21 +280,21 @@ def _sets(read: DataFrame, members: DataFrame) -> DataFrame:
 
     id_ = F.coalesce("id", F.lit(_NONE)).alias("id")
     found = read.select(id_, "text").withColumn("k", F.xxhash64("id")).mapInArrow(emit, "rep long, cid long, body binary")
-    return found.join(members, ["rep", "cid"]).dropDuplicates(["cid"]).select("cid", "group", "body")
+    return found.join(units, ["rep", "cid"])
 
 
 def _tree_links(rows: DataFrame, cross: bool) -> DataFrame:
     """Links in each unit (columns unit, side, cid, label, body)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[int, tuple] = {}  # by class: a repeated row brings its set again
         unit = None
 
         def solved() -> pa.RecordBatch:
-            sets = [np.frombuffer(r[3], np.uint64) for r in held]
-            cid = np.array([r[1] for r in held], np.int64)
-            tree = Tree(sets, np.array([r[2] for r in held], np.int64))
-            found = tree.links(np.array([r[0] for r in held]) if cross else None)
+            cid = np.array(list(held), np.int64)
+            side, label, body = zip(*held.values(), strict=True)
+            tree = Tree([np.frombuffer(x, np.uint64) for x in body], np.array(label, np.int64))
+            found = tree.links(np.array(side) if cross else None)
             i, j = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(cid[i]), pa.array(cid[j])], ["a", "b"])
 
@@ -302,9 +302,9 @@ def _tree_links(rows: DataFrame, cross: bool) -> DataFrame:
             for u, side, cid, label, body in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if held and u != unit:
                     yield solved()
-                    held = []
+                    held = {}
                 unit = u
-                held.append((side, cid, label, body))
+                held.setdefault(cid, (side, label, body))
         if held:
             yield solved()
 
@@ -313,28 +313,36 @@ def _tree_links(rows: DataFrame, cross: bool) -> DataFrame:
 
 
 def _links(read: DataFrame, members: DataFrame) -> DataFrame:
-    sets = saved(_sets(read, members))
-    sizes = sets.groupBy("group").agg((F.floor(F.sum(F.length("body") + 64) / BLOCK_BYTES) + 1).alias("blocks"))
-    sets = sets.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    alone = sets.select(F.xxhash64("group", "block").alias("unit"), F.lit(0).alias("side"), "cid", F.col("cid").alias("label"), "body")
-    links = saved(_tree_links(alone, False))
-    large = sets.where("blocks > 1")
+    """Links that connect each group; ``members`` are (cid, rep, n, group). Sets travel only to the trees that need them."""
+    blocks = members.groupBy("group").agg((F.floor(F.sum(F.col("n") * 8 + 64) / BLOCK_BYTES) + 1).alias("blocks"))
+    placed = saved(members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))))
+    none = F.lit(0).alias("side")
+    links = saved(_tree_links(_bodies(read, placed.select("cid", "rep", F.xxhash64("group", "block").alias("unit"), none, F.col("cid").alias("label"))), False))
+    large = placed.where("blocks > 1")
     if large.isEmpty():
         return links
-    for first_only in (True, False):
-        labels = connected(links)
-        now = large.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    for step in ("samples", "first block", "all blocks"):
+        labels = connected(links).withColumnRenamed("node", "cid")
+        now = large.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         split = now.groupBy("group").agg(F.count_distinct("label").alias("c")).where("c > 1").select("group")
-        now = now.join(split, "group", "left_semi")
-        all_blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-        if first_only:  # block 0 meets each other block
-            others = F.when(F.col("block") == 0, F.filter(all_blocks, lambda x: x > 0)).otherwise(F.array(F.col("block")))
-            pair = now.withColumn("o", F.explode(others)).select(F.xxhash64("group", "o").alias("unit"), (F.col("block") > 0).cast("int").alias("side"), "cid", "label", "body")
+        now = saved(now.join(split, "group", "left_semi"))
+        if now.isEmpty():
+            break
+        if step == "samples":  # one class of the main component of each block: the parts of a family find each other
+            parts_ = now.groupBy("group", "block", "label").agg(F.count("*").alias("c"), F.min("cid").alias("cid"))
+            pick = parts_.groupBy("group", "block").agg(F.max(F.struct("c", "cid")).alias("m")).select("m.cid")
+            some = now.join(pick, "cid", "left_semi")
+            units = some.select("cid", "rep", F.xxhash64("group", F.lit(-1)).alias("unit"), none, "label")
+        elif step == "first block":
+            meets = F.when(F.col("block") == 0, F.filter(every, lambda x: x > 0)).otherwise(F.array(F.col("block")))
+            pair = now.withColumn("o", F.explode(meets))
+            units = pair.select("cid", "rep", F.xxhash64("group", "o").alias("unit"), (F.col("block") > 0).cast("int").alias("side"), "label")
         else:
-            others = F.filter(all_blocks, lambda x: x != F.col("block"))
+            pair = now.withColumn("o", F.explode(F.filter(every, lambda x: x != F.col("block"))))
             low, high = F.least("block", "o"), F.greatest("block", "o")
-            pair = now.withColumn("o", F.explode(others)).where(low > 0).select(F.xxhash64("group", low, high).alias("unit"), (F.col("block") > F.col("o")).cast("int").alias("side"), "cid", "label", "body")
-        links = saved(links.unionByName(_tree_links(pair, True)))
+            units = pair.where(low > 0).select("cid", "rep", F.xxhash64("group", low, high).alias("unit"), (F.col("block") > F.col("o")).cast("int").alias("side"), "label")
+        links = saved(links.unionByName(_tree_links(_bodies(read, units), step != "samples")))
     return links
 
 
@@ -342,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, th (xxhash64 of the text), cid (class), n_shingles, component_id."""
     read = _shingled(docs, id_col, text_col)
     rows = saved(_classes(read))
-    least = rows.where("n > 0").groupBy("cid").agg(F.min(F.coalesce("id", F.lit(_NONE))).alias("rep"))
+    least = rows.where("n > 0").groupBy("cid").agg(F.min(F.coalesce("id", F.lit(_NONE))).alias("rep"), F.max("n").alias("n"))
     groups = connected(_meetings(read)).select(F.col("node").alias("cid"), F.col("label").alias("group"))
     members = saved(groups.join(least, "cid"))
     labels = connected(_links(read, members)).withColumnRenamed("node", "cid")
