@@ -364,3 +364,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT doc_id, n, i, md5(string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WORDS - 1} FOLLOWING)) AS h FROM p),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, h FROM k WHERE i <= greatest(n - {WORDS - 1}, 1)),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT b.a, b.b FROM b JOIN c x ON x.doc_id = b.a JOIN c y ON y.doc_id = b.b WHERE {DEN} * b.n >= {NUM} * (x.n + y.n - b.n)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id AND r.c < e.b),
+m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(least(m.c, d.doc_id), d.doc_id) AS component_id FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""

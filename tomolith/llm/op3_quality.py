@@ -96,8 +96,9 @@ def rules_sql(source: str) -> str:
     return f"""
 WITH q_in AS (SELECT doc_id, coalesce(text, '') AS text FROM {source}),
 q_words AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{white}+'), lambda x: x <> '') AS w FROM q_in),
-q_at AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM q_words WHERE len(w) >= 4),
-q_win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM q_at),
+q_at AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM q_words),
+q_three AS (SELECT doc_id, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM q_at WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+q_win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, y, z) AS c FROM q_three WHERE z IS NOT NULL),
 q_rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM q_win WHERE c > 1) GROUP BY doc_id),
 q_lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM q_in) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),

@@ -93,3 +93,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT doc_id, i, count(*) OVER o AS n, md5(string_agg(x, ' ') OVER o) AS h FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {SIZE - 1} FOLLOWING)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM k WHERE n = {SIZE}),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {SIZE})) AS i FROM f WHERE r > 1),
+s AS (SELECT doc_id, count(g.i) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL), '') AS kept FROM p LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)"""

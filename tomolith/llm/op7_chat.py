@@ -82,13 +82,15 @@ def formatted(turns: DataFrame, tokenizer_path: str = TOKENIZER, piece_chars: in
             nonlocal out, out_chars
             cols = list(zip(*out, strict=True))
             out, out_chars = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            flat = [pa.array(c, k) for c, k in zip(cols[:4], kinds, strict=False)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in c])), pa.int32()), pa.array(np.concatenate(c), k.value_type)) for c, k in zip(cols[4:], kinds[4:], strict=True)]
+            return pa.RecordBatch.from_arrays([*flat, *lists], names)
 
         def piece(last: bool) -> None:
             nonlocal text, spans, chars, number, out_chars
             whole = "".join(text)
             ids, offsets, loss = encoded(whole, np.array(spans, np.int64).reshape(-1, 2), tokenizer_path)
-            out.append((conv, number, last, whole, ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), loss.tolist()))
+            out.append((conv, number, last, whole, np.array(ids, np.int32), offsets[:, 0].astype(np.int32), offsets[:, 1].astype(np.int32), loss))
             out_chars += len(whole)
             text, spans, chars, number = [], [], 0, number + 1
 
@@ -130,12 +132,14 @@ def digests(pieces: DataFrame) -> DataFrame:
         state = fresh()
         for batch in batches:
             out = []
-            for conv, _, last, text, ids, starts, ends, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            scalar = [batch.column(k).to_pylist() for k in (0, 2, 3)]
+            for i, (conv, last, text) in enumerate(zip(*scalar, strict=True)):
+                starts, ends, loss = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (5, 6, 7))
                 for role, said in _TURN.findall(text):
                     state["n"] += 1
                     state["turns"].update(f"{unescape(role)}\n{unescape(said)}\n".encode())
-                mask = np.array(loss, bool)
-                begin, end = np.array(starts, np.int64)[mask], np.array(ends, np.int64)[mask]
+                mask = loss.astype(bool)
+                begin, end = starts[mask], ends[mask]
                 if len(begin):
                     # Tokens of one character overlap, tokens of one turn touch: a gap starts a new turn.
                     cut = np.flatnonzero(begin[1:] > end[:-1]) + 1
@@ -144,7 +148,7 @@ def digests(pieces: DataFrame) -> DataFrame:
                         state["chars"] += len(said)
                         state["loss"].update(said.encode())
                 state["all"] += len(text)
-                state["tokens"] += len(ids)
+                state["tokens"] += len(starts)
                 state["masked"] += int(mask.sum())
                 if last:
                     out.append((conv, state["n"], state["turns"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["all"], state["tokens"], state["masked"]))
@@ -160,4 +164,22 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return digests(formatted(turns.unionByName(more)))
+    out = digests(formatted(turns.unionByName(more)))
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def _escaped_length(column: str) -> str:
+    out = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for c in CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return f"length({out})"
+
+
+SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum({_escaped_length("role")} + {_escaped_length("text")} + 17))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
