@@ -100,7 +100,7 @@ def joseph(origin: np.ndarray, direction: np.ndarray, shape: tuple[int, ...]) ->
         w = np.where(up, part, 1 - part)
         w[np.arange(len(ray)), axis] = 1.0
         voxel, w = low + up, w.prod(1) * step
-        ok = ~driven & ((voxel >= 0) & (voxel < size)).all(1) & (w > 0)
+        ok = ~driven & ((voxel >= 0) & (voxel < size)).all(1) & (w > 1e-12)
         out.append((ray[ok], (voxel[ok] * strides).sum(1), w[ok]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

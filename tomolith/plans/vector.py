@@ -23,6 +23,8 @@ from .storage import saved
 
 #: Rows of (idx, val) that a join may broadcast: 16 MB.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a vector that an iteration may hold on the driver: 1 MB. Larger ones are checkpointed.
+LOCAL_ROWS = 65_536
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -111,6 +113,9 @@ class Vector:
         return f"Vector{self.desc.shape}[{', '.join(inner)}]"
 
     def saved(self) -> Vector:
+        """Cut from its lineage: a local relation while the descriptor proves it small, else a checkpoint."""
+        if self.size <= LOCAL_ROWS:
+            return Vector(self.spark.createDataFrame(self.df.toArrow()), self.desc)
         return Vector(saved(self.df), self.desc)
 
     # --- element-wise ----------------------------------------------------------------
