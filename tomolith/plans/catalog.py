@@ -57,7 +57,7 @@ SEG_B = "SELECT g AS idx, coalesce(s, 0) / (1 + coalesce(n, 0)) AS val FROM rang
 
 
 def _vec(source: str, expression: str, digits: int = 6) -> str:
-    return f"SELECT idx, round({expression}, {digits}) + 0.0 AS val FROM {source}"
+    return f"SELECT idx, (round({expression}, {digits}) + 0.0)::DOUBLE AS val FROM {source}"
 
 
 # --- element-wise ---------------------------------------------------------------------------
@@ -188,7 +188,7 @@ _add("shearlet_roundtrip", lambda s, d: shown((lambda op, x: op.apply_adjoint(op
 
 # --- functionals -------------------------------------------------------------------------------
 def _functional(name: str, make: Callable[[Vector], FN.Functional], value: str, gradient: str | None = None) -> None:
-    _add(f"f_{name}", lambda s, d: (lambda x: scalars(s, 4, value=make(x).evaluate(x)))(T.balances(s, d)), f"SELECT round({value}, 4) + 0.0 AS value FROM {Y}")
+    _add(f"f_{name}", lambda s, d: (lambda x: scalars(s, 4, value=make(x).evaluate(x)))(T.balances(s, d)), f"SELECT (round({value}, 4) + 0.0)::DOUBLE AS value FROM {Y}")
     if gradient:
         _add(f"f_{name}_gradient", lambda s, d: (lambda x: shown(make(x).gradient(x)))(T.balances(s, d)), _vec(Y, gradient))
 
@@ -390,9 +390,9 @@ UNION ALL SELECT 2, round((aa*(bb*cy-by_*bc) - ab*(ab*cy-by_*ac) + ay*(ab*bc-bb*
 )
 
 # --- phantoms, geometry, projectors -------------------------------------------------------------
-_add("phantom_circular", lambda s, d: shown(PH.circular(s, (64, 64), 20.5)), "SELECT g AS idx, CASE WHEN pow(g % 64 - 32, 2) + pow(g // 64 - 32, 2) <= 20.5 * 20.5 THEN 1.0 ELSE 0.0 END AS val FROM range(4096) t(g)")
-_add("phantom_rectangle", lambda s, d: shown(PH.rectangle(s, (16, 16, 16), (2, 3, 4), (9, 12, 15))), "SELECT g AS idx, CASE WHEN g % 16 BETWEEN 2 AND 8 AND (g // 16) % 16 BETWEEN 3 AND 11 AND g // 256 BETWEEN 4 AND 14 THEN 1.0 ELSE 0.0 END AS val FROM range(4096) t(g)")
-_add("phantom_ellipsoid", lambda s, d: shown(PH.rasterize(s, Grid((24, 24, 24)), [PH.Solid("ellipsoid", 1.5, (12, 11, 10), (8, 6, 5)), PH.Solid("box", 0.25, (12, 12, 12), (4, 4, 4))])), "SELECT g AS idx, CASE WHEN pow(g % 24 - 12, 2) / 64.0 + pow((g // 24) % 24 - 11, 2) / 36.0 + pow(g // 576 - 10, 2) / 25.0 <= 1 THEN 1.5 ELSE 0.0 END + CASE WHEN abs(g % 24 - 12) <= 4 AND abs((g // 24) % 24 - 12) <= 4 AND abs(g // 576 - 12) <= 4 THEN 0.25 ELSE 0.0 END AS val FROM range(13824) t(g)")
+_add("phantom_circular", lambda s, d: shown(PH.circular(s, (64, 64), 20.5)), "SELECT g AS idx, (CASE WHEN pow(g % 64 - 32, 2) + pow(g // 64 - 32, 2) <= 20.5 * 20.5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS val FROM range(4096) t(g)")
+_add("phantom_rectangle", lambda s, d: shown(PH.rectangle(s, (16, 16, 16), (2, 3, 4), (9, 12, 15))), "SELECT g AS idx, (CASE WHEN g % 16 BETWEEN 2 AND 8 AND (g // 16) % 16 BETWEEN 3 AND 11 AND g // 256 BETWEEN 4 AND 14 THEN 1.0 ELSE 0.0 END)::DOUBLE AS val FROM range(4096) t(g)")
+_add("phantom_ellipsoid", lambda s, d: shown(PH.rasterize(s, Grid((24, 24, 24)), [PH.Solid("ellipsoid", 1.5, (12, 11, 10), (8, 6, 5)), PH.Solid("box", 0.25, (12, 12, 12), (4, 4, 4))])), "SELECT g AS idx, (CASE WHEN pow(g % 24 - 12, 2) / 64.0 + pow((g // 24) % 24 - 11, 2) / 36.0 + pow(g // 576 - 10, 2) / 25.0 <= 1 THEN 1.5 ELSE 0.0 END + CASE WHEN abs(g % 24 - 12) <= 4 AND abs((g // 24) % 24 - 12) <= 4 AND abs(g // 576 - 12) <= 4 THEN 0.25 ELSE 0.0 END)::DOUBLE AS val FROM range(13824) t(g)")
 _add("phantom_shepp_logan_2d", lambda s, d: shown(PH.shepp_logan(s, (32, 32))))
 _add("phantom_shepp_logan_3d", lambda s, d: shown(PH.shepp_logan(s, (24, 24, 24))))
 _add("phantom_blob", lambda s, d: shown(PH.smooth_blob(s, (32, 32))))
