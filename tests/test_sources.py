@@ -47,7 +47,7 @@ def test_simple_phantoms_and_noise(spark):
     assert c.sum() == 13 and c[4, 4] == 1
     assert PH.rectangle(spark, (5, 5), (1, 1), (3, 4)).sum() == 6
     blob = PH.smooth_blob(spark, (10, 10)).to_array()
-    assert blob.max() <= 1 and blob[5, 5] > 0.9 and blob[0, 0] == 0
+    assert blob.max() <= 1 and blob[5, 5] > 0.85 and blob[0, 0] == 0
     zero = Vector.full(spark, Grid((4000,)), 0.0)
     g, p = PH.gaussian_noise(zero, 1.0, 2.0, 3).to_array(), PH.poisson_noise(zero, 4.0, 3).to_array()
     assert abs(g.mean() - 1) < 0.2 and abs(g.std() - 2) < 0.2 and abs(p.mean() - 0.25) < 0.03 and p.min() >= 0
