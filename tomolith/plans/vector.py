@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,11 +52,11 @@ class Vector:
             raise ValueError("array and descriptor differ in size")
         flat = a.ravel(order="F")
         if np.iscomplexobj(flat):
-            rows = [(i, (float(z.real), float(z.imag))) for i, z in enumerate(flat)]
-            return Vector(spark.createDataFrame(rows, "idx long, val struct<re double, im double>"), desc)
-        import pandas as pd
-
-        return Vector(spark.createDataFrame(pd.DataFrame({"idx": np.arange(a.size), "val": flat.astype(float)})), desc)
+            parts = [pa.array(np.ascontiguousarray(x, float)) for x in (flat.real, flat.imag)]
+            val = pa.StructArray.from_arrays(parts, names=["re", "im"])
+        else:
+            val = pa.array(flat.astype(float))
+        return Vector(spark.createDataFrame(pa.table({"idx": pa.array(np.arange(a.size)), "val": val})), desc)
 
     @staticmethod
     def generate(spark: SparkSession, desc: Grid, value: Callable[[Column], Column]) -> Vector:

@@ -8,7 +8,6 @@ these are single-file formats for one image.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +28,24 @@ def edf_header(text: str) -> dict[str, str]:
     """Assignments ``name = value;`` between braces; names in lower case, quotes removed."""
     if not text.startswith("{"):
         raise ValueError("an EDF header begins with a brace")
-    out = {}
-    for m in re.finditer(r"""\s*([^={}]+?)\s*=\s*((?:"[^"]*"|'[^']*'|[^;"'])*);""", text[1:]):
-        value = m[2].strip()
-        out[m[1].strip().lower()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    out: dict[str, str] = {}
+    part, quote = "", ""
+    for ch in text[1:]:
+        if quote:
+            quote = "" if ch == quote else quote
+        elif ch in "\"'":
+            quote = ch
+        elif ch == "}":
+            break
+        elif ch == ";":
+            name, sep, value = part.partition("=")
+            if not sep:
+                raise ValueError("an EDF header consists of assignments")
+            value = value.strip()
+            out[name.strip().lower()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+            part = ""
+            continue
+        part += ch
     return out
 
 
