@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tomolith.llm import native, op1_lines, op2_decontaminate, op3_quality, op6_packing, op10_jaccard
 
+#: Shingle size and similarity of near copies; op10's query has a contract of its own.
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -33,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays (of rows with that id, the one with the least text hash)."""
-    groups = op10_jaccard.near_duplicates(docs)
+    groups = op10_jaccard.near_duplicates(docs, words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
     last = F.lit(2**63 - 1)
     key = lambda c: F.coalesce(F.col(c), last)
     linked = groups.where("n_shingles > 0").groupBy(key("component_id").alias("c")).agg(F.min(F.struct(key("id").alias("k"), F.col("th").alias("t"))).alias("first")).select("first.k", "first.t")

@@ -115,6 +115,20 @@ def test_parts_lose_no_link():
             assert set(key[owner == 0]) & set(key[owner == 1]), n
 
 
+def test_parts_lose_no_link_at_80_percent():
+    rng = np.random.default_rng(12)
+    for n in [1, 2, 3, 4, 5, 6, 9, 10, 11, 20, 41, 100, 333]:
+        for _ in range(6):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            drop = rng.integers(0, n // 5 + 1)
+            y = np.unique(np.append(x[drop:], rng.integers(0, 2**63, rng.integers(0, n // 5 - drop + 1)).astype(np.uint64)))
+            both = len(np.intersect1d(x, y))
+            if 100 * both < 80 * (len(x) + len(y) - both):
+                continue
+            owner, key = op10_jaccard.parts(np.append(x, y), np.array([0, len(x), len(x) + len(y)]), 80, 100)
+            assert set(key[owner == 0]) & set(key[owner == 1]), n
+
+
 def test_connected(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(components.connected(spark.createDataFrame(chain, "a long, b long")).collect())

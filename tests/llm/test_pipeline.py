@@ -7,7 +7,7 @@ import sys
 import corpus_pipeline
 import duckdb
 from tests.llm import brute
-from tomolith.llm import op2_decontaminate, op3_quality, registry
+from tomolith.llm import op2_decontaminate, op3_quality, op10_jaccard, registry
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,16 @@ def test_stages_keep_the_columns(spark, sf_dir):
     assert sorted((r.doc_id for r in once.collect()), key=str) == [1, 2, None]
 
 
+def test_near_copies_at_five_words_and_80_percent(spark, sf_dir):
+    one = [f"v{i}" for i in range(45)]
+    less = [*one[:20], "other", *one[21:]]  # shares 36 of 46 shingles of five words (0.783), 38 of 46 of four (0.826): no copy
+    ends = [f"u{i}" for i in range(45)]
+    tail = [*ends[:41], "x", "y", "z", "q"]  # 37 of 45 (0.822) and 38 of 46 (0.826): a copy here, none at four words and 85 %
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate([one, less, ends, tail])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == [0, 1, 2]
+    assert sorted(r.component_id for r in op10_jaccard.near_duplicates(docs).collect()) == [0, 1, 2, 3]
+
+
 def test_sql_agrees(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "labels", "conversations"):

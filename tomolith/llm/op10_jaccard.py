@@ -1,4 +1,6 @@
-"""N-gram Jaccard join with signature trees; exact components of links at 85 %.
+"""N-gram Jaccard join with signature trees; exact components of links at a threshold.
+
+The query's contract is 4 words and 85 %; callers may give others.
 
 1. Documents with equal shingle sets are one class.
 2. Routing (exact, no link is lost): shingles fall into m hashed parts. Two linked sets
@@ -17,7 +19,7 @@
 4. Components of the links found, then of all documents.
 
 Words: maximal runs of characters other than space and \\t..\\r, A-Z lower-cased. A set
-with fewer than four words is the whole sequence; no words or null text: empty, linked
+with fewer words than a shingle is the whole sequence; no words or null text: empty, linked
 with nothing. Rows sharing a doc_id are separate rows; a null id joins as the largest and
 is reported as null only if its whole component has no other. Empty table: empty result.
 """
@@ -84,9 +86,9 @@ def levels(num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.n
     return e, d, d + 3 + (d + 1) // 40
 
 
-def parts(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parts(h: np.ndarray, off: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
     """Hashed parts of every set as (number of the set, hash of scheme, part and content)."""
-    edge, most, number = levels()
+    edge, most, number = levels(num, den)
     n = np.diff(off)
     level = np.searchsorted(edge, n, "right") - 1
     sets, out = [], []
@@ -114,7 +116,8 @@ def parts(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Tree:
     """A signature tree over sets of hashes; ``links`` joins what is linked and not yet connected."""
 
-    def __init__(self, sets: list[np.ndarray], label: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], label: np.ndarray, num: int = NUM, den: int = DEN):
+        self.num, self.den = num, den
         size = np.array([len(s) for s in sets], np.int64)
         first = np.array([s[0] for s in sets], np.uint64)
         self.order = np.lexsort((first, size))
@@ -149,14 +152,14 @@ class Tree:
 
     def _possible(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         o, lo, hi, hid = self.nodes[level]
-        fits = (DEN * np.minimum(hi[i], hi[j]) >= NUM * np.maximum(lo[i], lo[j]))
+        fits = (self.den * np.minimum(hi[i], hi[j]) >= self.num * np.maximum(lo[i], lo[j]))
         one = self._one(level)
         fits &= (one[i] != one[j]) | (one[i] < 0)
         k = np.flatnonzero(fits)
         for a in range(0, len(k), 4096):
             p = k[a : a + 4096]
             overlap = np.bitwise_count(o[i[p]] & o[j[p]]).sum(1, dtype=np.int64) + np.minimum(hid[i[p]], hid[j[p]])
-            fits[p] = (NUM + DEN) * overlap >= NUM * (lo[i[p]] + lo[j[p]])
+            fits[p] = (self.num + self.den) * overlap >= self.num * (lo[i[p]] + lo[j[p]])
         return fits
 
     def _linked(self, a: int, b: int) -> bool:
@@ -165,7 +168,7 @@ class Tree:
             x, y = y, x
         at = np.minimum(np.searchsorted(y, x), len(y) - 1)
         both = int((y[at] == x).sum())
-        return DEN * both >= NUM * (len(x) + len(y) - both)
+        return self.den * both >= self.num * (len(x) + len(y) - both)
 
     def _join(self, a: int, b: int, out: list) -> None:
         if self.root[a] != self.root[b] and self._linked(a, b):
@@ -210,30 +213,30 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
-def _classes(read: DataFrame) -> DataFrame:
+def _classes(read: DataFrame, words: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in K.chunks(batch.column(1)):
-                h, off = shingles(c)
+                h, off = shingles(c, words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(c)), batch.column(2).slice(c.first, len(c)), pa.array(class_ids(h, off)), pa.array(np.diff(off))], ["id", "th", "cid", "n"])
 
     return read.mapInArrow(work, "id long, th long, cid long, n long")
 
 
-def _meetings(read: DataFrame) -> DataFrame:
+def _meetings(read: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): classes that agree on a part, each with the least class of that part."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = np.zeros(0, np.int64)
             for c in K.chunks(batch.column(1)):
-                h, off = shingles(c)
+                h, off = shingles(c, words)
                 cid = class_ids(h, off)
                 _, pick = np.unique(cid, return_index=True)
                 pick = pick[(cid[pick] != 0) & ~np.isin(cid[pick], seen)]  # once per class and batch
                 seen = np.append(seen, cid[pick])
                 n = np.diff(off)[pick]
-                owner, key = parts(h[K.slices_of(off[pick], n)], np.append(0, np.cumsum(n)))
+                owner, key = parts(h[K.slices_of(off[pick], n)], np.append(0, np.cumsum(n)), num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cid[pick][owner])], ["key", "cid"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +265,7 @@ def _meetings(read: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "cid").mapInArrow(meet, "a long, b long").distinct()
 
 
-def _bodies(read: DataFrame, units: DataFrame) -> DataFrame:
+def _bodies(read: DataFrame, units: DataFrame, words: int) -> DataFrame:
     """``units`` (cid, rep, unit, side, label) with the sets (body), read again from the representatives."""
     bitmap = A.bitmap_of(units.select(F.xxhash64("rep").alias("key")))
     shared = read.sparkSession.sparkContext.broadcast(bitmap)
@@ -273,7 +276,7 @@ def _bodies(read: DataFrame, units: DataFrame) -> DataFrame:
             key = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             part = batch.filter(pa.array(A.in_bitmap(bits, key)))
             for c in K.chunks(part.column(1)):
-                h, off = shingles(c)
+                h, off = shingles(c, words)
                 ids = part.column(0).slice(c.first, len(c))
                 body = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(h.tobytes())])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(class_ids(h, off)), body], ["rep", "cid", "body"])
@@ -283,7 +286,7 @@ def _bodies(read: DataFrame, units: DataFrame) -> DataFrame:
     return found.join(units, ["rep", "cid"])
 
 
-def _tree_links(rows: DataFrame, cross: bool) -> DataFrame:
+def _tree_links(rows: DataFrame, cross: bool, num: int, den: int) -> DataFrame:
     """Links in each unit (columns unit, side, cid, label, body)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +296,7 @@ def _tree_links(rows: DataFrame, cross: bool) -> DataFrame:
         def solved() -> pa.RecordBatch:
             cid = np.array(list(held), np.int64)
             side, label, body = zip(*held.values(), strict=True)
-            tree = Tree([np.frombuffer(x, np.uint64) for x in body], np.array(label, np.int64))
+            tree = Tree([np.frombuffer(x, np.uint64) for x in body], np.array(label, np.int64), num, den)
             found = tree.links(np.array(side) if cross else None)
             i, j = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(cid[i]), pa.array(cid[j])], ["a", "b"])
@@ -312,12 +315,12 @@ def _tree_links(rows: DataFrame, cross: bool) -> DataFrame:
     return rows.select("unit", "side", "cid", "label", "body").repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(work, "a long, b long")
 
 
-def _links(read: DataFrame, members: DataFrame) -> DataFrame:
+def _links(read: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links that connect each group; ``members`` are (cid, rep, n, group). Sets travel only to the trees that need them."""
     blocks = members.groupBy("group").agg((F.floor(F.sum(F.col("n") * 8 + 64) / BLOCK_BYTES) + 1).alias("blocks"))
     placed = saved(members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))))
     none = F.lit(0).alias("side")
-    links = saved(_tree_links(_bodies(read, placed.select("cid", "rep", F.xxhash64("group", "block").alias("unit"), none, F.col("cid").alias("label"))), False))
+    links = saved(_tree_links(_bodies(read, placed.select("cid", "rep", F.xxhash64("group", "block").alias("unit"), none, F.col("cid").alias("label")), words), False, num, den))
     large = placed.where("blocks > 1")
     if large.isEmpty():
         return links
@@ -342,18 +345,18 @@ def _links(read: DataFrame, members: DataFrame) -> DataFrame:
             pair = now.withColumn("o", F.explode(F.filter(every, lambda x: x != F.col("block"))))
             low, high = F.least("block", "o"), F.greatest("block", "o")
             units = pair.where(low > 0).select("cid", "rep", F.xxhash64("group", low, high).alias("unit"), (F.col("block") > F.col("o")).cast("int").alias("side"), "label")
-        links = saved(links.unionByName(_tree_links(_bodies(read, units), step != "samples")))
+        links = saved(links.unionByName(_tree_links(_bodies(read, units, words), step != "samples", num, den)))
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, th (xxhash64 of the text), cid (class), n_shingles, component_id."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """One row per document: id, th (xxhash64 of the text), cid (class), n_shingles, component_id; shingles of ``words``, linked from num/den."""
     read = _shingled(docs, id_col, text_col)
-    rows = saved(_classes(read))
+    rows = saved(_classes(read, words))
     least = rows.where("n > 0").groupBy("cid").agg(F.min(F.coalesce("id", F.lit(_NONE))).alias("rep"), F.max("n").alias("n"))
-    groups = connected(_meetings(read)).select(F.col("node").alias("cid"), F.col("label").alias("group"))
+    groups = connected(_meetings(read, words, num, den)).select(F.col("node").alias("cid"), F.col("label").alias("group"))
     members = saved(groups.join(least, "cid"))
-    labels = connected(_links(read, members)).withColumnRenamed("node", "cid")
+    labels = connected(_links(read, members, words, num, den)).withColumnRenamed("node", "cid")
     whole = labels.join(least, "cid").groupBy("label").agg(F.min("rep").alias("component"))
     linked = labels.join(whole, "label").select("cid", "component")
     final = least.join(linked, "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"))
