@@ -25,8 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go, and documents that held nothing else."""
-    out = op1_lines.remove_boilerplate(docs)
+    """Boilerplate lines go, and documents that held nothing else; near copies of a document count as one."""
+    copies = op10_jaccard.near_duplicates(docs, words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
+    out = op1_lines.remove_boilerplate(docs, copies=copies)
     touched = F.col("_n_removed") > 0
     kept = out.where(~touched | (native.without_white(F.col("_kept")) != ""))
     n_chars = F.when(touched, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))

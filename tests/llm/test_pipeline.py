@@ -48,6 +48,20 @@ def test_stages_keep_the_columns(spark, sf_dir):
     assert sorted((r.doc_id for r in once.collect()), key=str) == [1, 2, None]
 
 
+def test_line_spread_is_counted_whole(spark, sf_dir):
+    """A block of two lines ends texts of ten sites; copies and near copies of one text stand on twelve; seven texts of seven sites share a line."""
+    text = lambda k: [" ".join(f"{k}x{i}y{j}" for j in range(8)) for i in range(6)]
+    block = ["Read more on our pages.", "All rights reserved."]
+    rows = [(i, "\n".join(text(i) + block), f"s{i % 10}") for i in range(20)]
+    near = [[*text(100)[:5], text(100)[5] + f" {k}"] for k in range(24)]
+    rows += [(100 + k, "\n".join(t), f"s{k % 12}") for k, t in enumerate(near)]
+    rows += [(200 + k, "\n".join(["Share this page.", *text(200 + k)]), f"s{k % 7}") for k in range(14)]
+    rows += [(None, "\n".join(text(300) + block), None)]
+    docs = spark.createDataFrame([(d, t, "en", s, 1) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, sf_dir).collect()}
+    assert got == {d: t.removesuffix("\n" + "\n".join(block)) for d, t, _ in rows}
+
+
 def test_near_copies_at_five_words_and_80_percent(spark, sf_dir):
     one = [f"v{i}" for i in range(45)]
     less = [*one[:20], "other", *one[21:]]  # shares 36 of 46 shingles of five words (0.783), 38 of 46 of four (0.826): no copy

@@ -350,7 +350,7 @@ def _links(read: DataFrame, members: DataFrame, words: int, num: int, den: int)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per document: id, th (xxhash64 of the text), cid (class), n_shingles, component_id; shingles of ``words``, linked from num/den."""
+    """One row per document: id, th (xxhash64 of the text), cid (class), label (least class of the component), n_shingles, component_id; shingles of ``words``, linked from num/den."""
     read = _shingled(docs, id_col, text_col)
     rows = saved(_classes(read, words))
     least = rows.where("n > 0").groupBy("cid").agg(F.min(F.coalesce("id", F.lit(_NONE))).alias("rep"), F.max("n").alias("n"))
@@ -358,10 +358,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = saved(groups.join(least, "cid"))
     labels = connected(_links(read, members, words, num, den)).withColumnRenamed("node", "cid")
     whole = labels.join(least, "cid").groupBy("label").agg(F.min("rep").alias("component"))
-    linked = labels.join(whole, "label").select("cid", "component")
-    final = least.join(linked, "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"))
+    linked = labels.join(whole, "label").select("cid", "component", "label")
+    final = least.join(linked, "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"), F.coalesce("label", "cid").alias("label"))
     out = rows.join(final, "cid", "left").withColumn("component", F.when(F.col("component") < _NONE, F.col("component")))
-    return out.select("id", "th", "cid", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("id", "th", "cid", "label", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ they are the affair of near-duplicate search). Spread is estimated with HyperLog
 sketches per line hash, merged by aggregation; only lines whose estimate lies within three
 standard errors of the threshold get an exact distinct count.
 
+That rule undercounts where neighbours repeat with the line, as inside a block of boilerplate.
+With ``copies`` (a class of near copies for each row) spread is counted whole instead: over
+all occurrences, a line must stand on so many distinct sites and in so many distinct classes.
+
 Lines are compared without surrounding white space; lines without a word are neither
 counted nor removed. Sites: the source column, null being a site of its own; of equal
 (line, neighbours) the least site counts. Rows are told apart by id and text, so repeated
@@ -42,12 +46,30 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where(F.col("n") > min_sites * (1 + error)).select("h", "g").unionByName(exact.select("h", "g"))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """The documents with _n_lines (worded), _n_removed and _kept, the text left."""
+def widespread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """Keys (h, g) of lines of columns h, g, site, cls that stand on ``min_sites`` sites and in as many classes, or more."""
+    error = 3 * 1.04 / 2 ** (LG_K / 2)
+    spread = lines.groupBy("h", "g").agg(*[F.hll_sketch_agg(c, F.lit(LG_K)).alias(c) for c in ("site", "cls")])
+    spread = spread.select("h", "g", F.least(*[F.hll_sketch_estimate(c) for c in ("site", "cls")]).alias("n")).where(F.col("n") >= min_sites * (1 - error))
+    near = spread.where(F.col("n") <= min_sites * (1 + error)).select("h", "g")
+    both = F.least(F.count_distinct("site"), F.count_distinct("cls"))
+    exact = lines.join(near, ["h", "g"], "left_semi").groupBy("h", "g").agg(both.alias("n")).where(F.col("n") >= min_sites)
+    return spread.where(F.col("n") > min_sites * (1 + error)).select("h", "g").unionByName(exact.select("h", "g"))
+
+
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, copies: DataFrame | None = None) -> DataFrame:
+    """The documents with _n_lines (worded), _n_removed and _kept, the text left; ``copies`` are (id, th, label) of op10_jaccard.near_duplicates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"_id": F.col(id_col), "_th": F.xxhash64(text)})
     lines = keyed.select("_id", "_th", F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.inline(_lines(text)))
-    marks = lines.join(boilerplate(lines, min_sites), ["h", "g"], "left_semi").groupBy("_id", "_th").agg(F.collect_set("i").alias("_bad"))
+    if copies is None:
+        bad = boilerplate(lines, min_sites)
+    else:
+        cls = copies.groupBy(F.col("id").alias("_cid"), F.col("th").alias("_cth")).agg(F.min("label").alias("cls"))
+        whole = keyed.select("_id", "_th", F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), _lines(text).alias("_all"))
+        whole = whole.join(cls, whole["_id"].eqNullSafe(cls["_cid"]) & (whole["_th"] == cls["_cth"]))
+        bad = widespread(whole.select("site", "cls", F.inline("_all")), min_sites)
+    marks = lines.join(bad, ["h", "g"], "left_semi").groupBy("_id", "_th").agg(F.collect_set("i").alias("_bad"))
     marks = marks.select(F.col("_id").alias("_mid"), F.col("_th").alias("_mth"), "_bad")
     joined = keyed.join(marks, keyed["_id"].eqNullSafe(marks["_mid"]) & (keyed["_th"] == marks["_mth"]), "left")
 
