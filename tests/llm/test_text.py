@@ -79,6 +79,13 @@ def test_tiling_covers_what_the_definition_covers():
         assert len(used) == len(set(used))
 
 
+def test_tiling_takes_the_rest_of_an_occluded_match():
+    a, b, c, d = np.arange(32).reshape(4, 8)
+    fill = np.full(3, -1)
+    t = np.concatenate([a, b[:1], fill, c, d[:1], fill, b, fill, d])
+    assert sorted(n for _, _, n in op2_decontaminate.tiles(np.arange(32), t)) == [7, 7, 9, 9]
+
+
 @pytest.mark.parametrize("block_chars", [4_000_000, 60])
 def test_decontamination(spark, monkeypatch, block_chars):
     monkeypatch.setattr(op2_decontaminate, "BLOCK_CHARS", block_chars)

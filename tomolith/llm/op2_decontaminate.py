@@ -85,13 +85,16 @@ def tiles(p: np.ndarray, t: np.ndarray, min_match: int = MIN_MATCH) -> list[tupl
         if longest > 2 * size:
             size = longest
             continue
+        before = len(out)
         for n, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
             if p_free[a : a + n].all() and t_free[b : b + n].all():
                 p_free[a : a + n] = False
                 t_free[b : b + n] = False
                 out.append((a, b, n))
         if size <= min_match:
-            return out
+            if len(out) == before:
+                return out
+            continue  # what longer tiles left free of an overlapping match may be a tile itself
         size = max(min_match, size // 2)
 
 
