@@ -62,6 +62,15 @@ def test_line_spread_is_counted_whole(spark, sf_dir):
     assert got == {d: t.removesuffix("\n" + "\n".join(block)) for d, t, _ in rows}
 
 
+def test_contaminated_row_takes_no_other_row_of_its_id(spark, tmp_path):
+    item = " ".join(f"b{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "clean of no id"), (1, f"some {item} more"), (1, "clean of a shared id"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 def test_near_copies_at_five_words_and_80_percent(spark, sf_dir):
     one = [f"v{i}" for i in range(45)]
     less = [*one[:20], "other", *one[21:]]  # shares 36 of 46 shingles of five words (0.783), 38 of 46 of four (0.826): no copy

@@ -142,9 +142,9 @@ class Index:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_id, item_id, n_words, n_covered, n_tiles) at or above the threshold."""
+    """Pairs (doc_id, item_id, n_words, n_covered, n_tiles, th) at or above the threshold; th is xxhash64 of the document's text."""
     spark = docs.sparkSession
-    read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("th"))
     items = benchmark.select(benchmark[item_col].cast("long").alias("i"), benchmark[item_text_col].alias("t"))
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
@@ -153,10 +153,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
             for batch in batches:
-                out = [(id_, *x) for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in index.search(text.as_py(), threshold)]
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "n_words", "n_covered", "n_tiles"])
+                out = [(id_, *x, th) for id_, text, th in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True) for x in index.search(text.as_py(), threshold)]
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "n_words", "n_covered", "n_tiles", "th"])
 
         return work
 
@@ -164,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(sorted((tuple(r) for r in block.toLocalIterator()), key=str))
-        parts.append(read.mapInArrow(searcher(shared), "doc_id long, item_id long, n_words long, n_covered long, n_tiles int"))
+        parts.append(read.mapInArrow(searcher(shared), "doc_id long, item_id long, n_words long, n_covered long, n_tiles int, th long"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -172,4 +172,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("th")
