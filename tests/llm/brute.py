@@ -94,13 +94,11 @@ def quality(rows):
 
 def lines(rows, min_sites=8):
     """rows: (doc_id, text, source)."""
-    spread = defaultdict(dict)
+    sites = defaultdict(set)
     for _, t, s in rows:
-        kept = [x for x in (y.strip(" \t\n\x0b\x0c\r") for y in (t or "").split("\n")) if x]
-        for i, x in enumerate(kept):
-            around = (kept[i - 1] if i else None, kept[i + 1] if i + 1 < len(kept) else None)
-            spread[x][around] = min(spread[x].get(around, s or ""), s or "")
-    bad = {x for x, c in spread.items() if len(set(c.values())) >= min_sites}
+        for x in (t or "").split("\n"):
+            sites[x.strip(" \t\n\x0b\x0c\r")].add(s or "")
+    bad = {x for x, c in sites.items() if x and len(c) >= min_sites}
     out = []
     for d, t, _ in rows:
         parts = (t or "").split("\n")

@@ -146,20 +146,32 @@ def test_quality(spark, docs):
 
 
 def test_lines(spark):
-    rows = []
+    rows, footer = [], ["All rights reserved.", "Contact us", " Imprint "]
     for i in range(60):
         own = [" ".join(words(6)) for _ in range(3)]
-        own.insert(RND.randint(0, 3), "All rights reserved.")
-        rows.append((i, "\n".join(own), f"s{i % 12}"))
-    copy = "\n".join(" ".join(words(5)) for _ in range(4))
-    rows += [(100 + i, copy, f"s{i % 12}") for i in range(30)]  # copies of a document are not boilerplate
+        own.insert(RND.randint(0, 3), "Share this page.")
+        rows.append((i, "\n".join(own + footer), f"s{i % 12}"))
+    rows += [(80 + i, f"own line {i}\nseven sites", f"s{i % 7}") for i in range(40)]
+    rows += [(120 + i, f"own line {i}\neight sites\n", f"s{i % 8}") for i in range(24)]
+    rows += [(150 + i, "one site, many times", "s1") for i in range(30)]
     rows += [(200, None, "s1"), (201, "", None), (202, "\n \n", None), (None, "All rights reserved.\n x ", None), (203, "only here\n\nonly here", "s2"), (0, rows[0][1], "s0")]
-    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, h int, site int")
-    out = op1_lines.remove_boilerplate(df).select("doc_id", "_n_lines", "_n_removed", F.sha2("_kept", 256))
-    assert rows_of(out) == brute.lines(rows)
-    assert dict((r[0], r[2]) for r in out.collect())[105] == 0
-    near = op1_lines.remove_boilerplate(df, min_sites=12).select("doc_id", "_n_lines", "_n_removed", F.sha2("_kept", 256))
-    assert rows_of(near) == brute.lines(rows, 12)
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, "k") for r in rows], "doc_id long, text string, source string, h int, site int, _id int, _bad int, key string")
+    for least in (8, 12):
+        out = op1_lines.remove_boilerplate(df, min_sites=least)
+        assert set(out.columns) == {*df.columns, "_n_lines", "_n_removed", "_kept"}
+        assert rows_of(out.select("doc_id", "_n_lines", "_n_removed", F.sha2("_kept", 256))) == brute.lines(rows, least)
+        assert {tuple(r) for r in out.select("h", "site", "_id", "_bad", "key").collect()} == {(1, 2, 3, 4, "k")}
+    assert {r._n_removed for r in op1_lines.remove_boilerplate(df).where("doc_id < 60").collect()} == {4}
+
+
+def test_lines_of_copies_may_be_spared(spark):
+    copy = "\n".join(" ".join(words(5)) for _ in range(4))
+    rows = [(i, copy, f"s{i % 12}") for i in range(30)] + [(100 + i, f"{' '.join(words(9))}\nfooter", f"s{i % 9}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r.doc_id < 100, r._n_removed) for r in op1_lines.remove_boilerplate(df).collect()} == {(True, 4), (False, 1)}
+    left = op1_lines.remove_boilerplate(df, spare=0.5).collect()
+    assert {(r.doc_id < 100, r._n_removed) for r in left} == {(True, 0), (False, 1)}
+    assert {r._kept for r in left if r.doc_id < 100} == {copy}
 
 
 def test_empty_tables(spark):

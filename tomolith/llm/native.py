@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -26,3 +26,15 @@ def words(text: Column) -> Column:
 
 def worded_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: without_white(x) != "")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` made different from all columns of ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
