@@ -16,6 +16,8 @@ from tomolith.llm import native, op1_lines, op2_decontaminate, op3_quality, op6_
 
 #: Shingle size and similarity of near copies; op10's query has a contract of its own.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
+#: Share of a document's characters that boilerplate may be; beyond it the document is a copy.
+SPARE = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -25,9 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go, and documents that held nothing else; near copies of a document count as one."""
-    copies = op10_jaccard.near_duplicates(docs, words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
-    out = op1_lines.remove_boilerplate(docs, copies=copies)
+    """Boilerplate lines go, and documents that held nothing else; a document mostly made of them is a copy, left whole for the next stage."""
+    out = op1_lines.remove_boilerplate(docs, spare=SPARE)
     touched = F.col("_n_removed") > 0
     kept = out.where(~touched | (native.without_white(F.col("_kept")) != ""))
     n_chars = F.when(touched, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
