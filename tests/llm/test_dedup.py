@@ -136,6 +136,32 @@ def test_connected(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1 << 20, 16])
+def test_connected_against_search(spark, monkeypatch, batch):
+    """A star around its greatest node, stars of stars, a chain in random order, random links, repeated links."""
+    monkeypatch.setattr(components, "BATCH", batch)
+    rnd = random.Random(5)
+    links = [(5000, i) for i in range(300)] + [(1000 + i, 2000 + i % 7) for i in range(200)] + [(2000 + i, 2100) for i in range(7)]
+    chain = rnd.sample(range(10_000, 11_000), 150)
+    links += list(zip(chain, chain[1:])) + [(rnd.randrange(20_000, 20_300), rnd.randrange(20_000, 20_300)) for _ in range(150)]
+    links += links[:50] + [(-(2**63), 2**63 - 1)]
+    rnd.shuffle(links)
+    near, want = {}, {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for node in sorted(near):
+        todo = [node] if node not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = node
+                todo += near[x]
+    got = components.connected(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+
+
 def test_quality(spark, docs):
     rows, df = docs
     out = op3_quality.with_verdict(df).select("doc_id", *[F.col("_m")[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "_base_failed")

@@ -31,10 +31,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors as A
+from . import components as C
 from . import kernels as K
 from .components import connected, saved
 
@@ -223,10 +225,32 @@ def _classes(read: DataFrame, words: int) -> DataFrame:
     return read.mapInArrow(work, "id long, th long, cid long, n long")
 
 
+def _met(key: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal keys one row is enough: (rows that stay, and the pairs (class, class of the row that stays) of the others)."""
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, np.diff(key[order]) != 0) if len(key) else np.zeros(0, bool)
+    lead = order[new]
+    pair = np.stack([cid[order[~new]], cid[lead[np.cumsum(new) - 1][~new]]])
+    pair = pair[:, pair[0] != pair[1]]
+    return lead, pair[0], pair[1]
+
+
 def _meetings(read: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): classes that agree on a part, each with the least class of that part."""
+    """Links between classes that agree on a part, as a forest for ``components.contracted``.
+
+    A task sends one row for each part, however many of its classes agree on it, and the links between these.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            key, cid = np.concatenate(held, axis=1)
+            lead, a, b = _met(key, cid)
+            yield C.rows(key[lead], cid[lead], C.PARENT)
+            for t in C.forest(a, b):
+                yield t.filter(pa.compute.equal(t.column(2), C.EDGE))
+
         for batch in batches:
             seen = np.zeros(0, np.int64)
             for c in K.chunks(batch.column(1)):
@@ -237,32 +261,42 @@ def _meetings(read: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 seen = np.append(seen, cid[pick])
                 n = np.diff(off)[pick]
                 owner, key = parts(h[K.slices_of(off[pick], n)], np.append(0, np.cumsum(n)), num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cid[pick][owner])], ["key", "cid"])
+                held.append(np.stack([key.view(np.int64), cid[pick][owner]]))
+                size += len(key)
+                if size >= C.BATCH:
+                    yield from done()
+                    held, size = [], 0
+        if held:
+            yield from done()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, least = None, None
-        known = np.zeros((0, 2), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
+        links, size = [], 0
+        held = None  # the last part, and the class that its others are linked with
+        for batch in batches:  # sorted by key; kind PARENT: (part, class), kind EDGE: a link found before
+            key, cid, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            edge = kind == C.EDGE
+            links.append(np.stack([key[edge], cid[edge]]))
+            size += int(edge.sum())
+            key, cid = key[~edge], cid[~edge]
+            if not len(key):
                 continue
-            key, cid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            lead = cid[head].copy()  # sorted by key and class: the first is the least
-            if held_key is not None and key[0] == held_key:
-                lead[0] = least
-            pair = np.stack([np.repeat(lead, np.diff(np.append(head, len(key)))), cid], 1)
-            held_key, least = key[-1], lead[-1]
-            pair = pair[pair[:, 0] != pair[:, 1]]
-            pair = np.unique(pair, axis=0) if len(pair) else pair
-            if len(pair) and len(known):  # most pairs meet in many parts of a partition
-                name = lambda p: K.mix(p[:, 0].view(np.uint64) * np.uint64(K._BASE) ^ p[:, 1].view(np.uint64))
-                pair = pair[~np.isin(name(np.ascontiguousarray(pair)), name(np.ascontiguousarray(known)))]
-            known = np.concatenate([known, pair])[-(1 << 16) :]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+            lead = cid[head].copy()
+            if held is not None and key[0] == held[0]:
+                lead[0] = held[1]
+            held = key[-1], lead[-1]
+            pair = np.stack([cid, np.repeat(lead, np.diff(np.append(head, len(key))))])
+            links.append(pair[:, pair[0] != pair[1]])
+            size += links[-1].shape[1]
+            if size >= C.BATCH:
+                yield from C.forest(*np.concatenate(links, axis=1))
+                links, size = [], 0
+        if size:
+            yield from C.forest(*np.concatenate(links, axis=1))
 
     n = int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = read.select("id", "text").mapInArrow(emit, "key long, cid long")
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "cid").mapInArrow(meet, "a long, b long").distinct()
+    keyed = read.select("id", "text").mapInArrow(emit, C.FOREST)
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, C.FOREST)
 
 
 def _bodies(read: DataFrame, units: DataFrame, words: int) -> DataFrame:
@@ -326,7 +360,7 @@ def _links(read: DataFrame, members: DataFrame, words: int, num: int, den: int)
         return links
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     for step in ("samples", "first block", "all blocks"):
-        labels = connected(links).withColumnRenamed("node", "cid")
+        labels = connected(links.join(large.select(F.col("cid").alias("a")), "a", "left_semi")).withColumnRenamed("node", "cid")
         now = large.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         split = now.groupBy("group").agg(F.count_distinct("label").alias("c")).where("c > 1").select("group")
         now = saved(now.join(split, "group", "left_semi"))
@@ -354,7 +388,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = _shingled(docs, id_col, text_col)
     rows = saved(_classes(read, words))
     least = rows.where("n > 0").groupBy("cid").agg(F.min(F.coalesce("id", F.lit(_NONE))).alias("rep"), F.max("n").alias("n"))
-    groups = connected(_meetings(read, words, num, den)).select(F.col("node").alias("cid"), F.col("label").alias("group"))
+    groups = C.contracted(_meetings(read, words, num, den)).select(F.col("node").alias("cid"), F.col("label").alias("group"))
     members = saved(groups.join(least, "cid"))
     labels = connected(_links(read, members, words, num, den)).withColumnRenamed("node", "cid")
     whole = labels.join(least, "cid").groupBy("label").agg(F.min("rep").alias("component"))
