@@ -10,8 +10,8 @@ from tomolith.sources import files as IO
 from tomolith.sources import phantoms as PH
 
 
-def test_shepp_logan_rows():
-    image = PH.shepp_logan_image(16)
+def test_shepp_logan_rows(spark):
+    image = PH.shepp_logan(spark, (16, 16)).to_array()
     # Three rows of the 16 x 16 phantom.
     rows = {
         3: (0, 0, 0, 0, 0, 0.2, 0.2, 0.3, 0.3, 0.3, 0.2, 0.2, 0, 0, 0, 0),
@@ -22,6 +22,40 @@ def test_shepp_logan_rows():
         assert np.allclose(image[:, y], row, atol=1e-6), (y, image[:, y])
 
 
+@pytest.mark.parametrize("half", [(1, 1), (5, 3), (3, 9), (12, 1), (1, 12), (14, 14), (0, 4), (4, 0), (7, 13)])
+def test_ellipse_by_midpoints(spark, half):
+    """Row by row, the widest point that the inequality admits."""
+    a, b = half
+    n = 41
+    got = PH.draw_ellipses(Vector.full(spark, Grid((n, n))), [PH.Ellipse(2.0, (20, 20), half)]).to_array() > 0
+    e = lambda x, y: b * b * x * x + a * a * y * y - a * a * b * b
+    for y in range(b + 2):
+        steep = max([x for x in range(a + 1) if e(x, y) + e(x - 1, y) <= 0], default=-1)
+        level = [max([x for x in range(a + 1) if e(x, r) + e(x, r - 1) <= 0 and r <= b], default=-1) for r in (y, y + 1)]
+        flat = max(level[0], level[1] + 1) if y <= b else -1
+        want = flat if y <= b and b * b * flat < a * a * y else steep if b * b * steep >= a * a * y else -1
+        if not a or not b:
+            want = a if y == 0 else -1
+        for row in {n - (20 + y), n - (20 - y)}:
+            xs = np.flatnonzero(got[:, row])
+            assert (len(xs) == 2 * want + 1 and xs[0] == 20 - want) if want >= 0 else not len(xs), (y, want, xs)
+
+
+def test_ellipse_outside_and_turned(spark):
+    zero = Vector.full(spark, Grid((20, 20)))
+    cut = PH.draw_ellipses(zero, [PH.Ellipse(1.0, (0, 19), (4, 4))]).to_array()
+    assert 0 < cut.sum() < 49 and cut[0, 1] == 1
+    up, turned = (PH.draw_ellipses(zero, [PH.Ellipse(1.0, (10, 10), h, w)]).to_array() for h, w in (((2, 7), 0.0), ((7, 2), 90.0)))
+    assert np.array_equal(up, turned)
+
+
+def test_forbild_from_a_table(spark, tmp_path):
+    rows = [("sphere", 1.8, 0.0, 0.0, 0.0, 9.0, 9.0, 9.0, None, None, None, None, None, 0), ("box", 1.0, 0.0, 0.0, 0.0, 2.0, 2.0, 2.0, 0.0, 0.0, 0.0, 2, 0.0, 1)]
+    spark.createDataFrame(rows, PH.SOLIDS).write.parquet(f"{tmp_path}/solids")
+    f = PH.forbild(spark, 16, "head", f"{tmp_path}/solids").to_array()
+    assert f.max() == 1.8 and f[8, 8, 8] == 1.0 and f[9, 8, 8] == 1.8
+
+
 def test_solids(spark):
     g = Grid((12, 12, 12))
     ball = PH.rasterize(spark, g, [PH.Solid("ellipsoid", 1.0, (6, 6, 6), (3, 3, 3))]).to_array()

@@ -48,7 +48,7 @@ CurvedCircleTrajectoryGenerator = SimpleNamespace(createTrajectory=_g.curved_cir
 SphereTrajectoryGenerator = SimpleNamespace(createTrajectory=_g.sphere_trajectory)
 LimitedAngleTrajectoryGenerator = SimpleNamespace(createTrajectory=_g.limited_angle_trajectory)
 phantoms = SimpleNamespace(modifiedSheppLogan=_p.shepp_logan, smoothBlob=_p.smooth_blob, rectangle=_p.rectangle, circular=_p.circular, forbild=_p.forbild, rasterize=_p.rasterize, Solid=_p.Solid)
-EllipseGenerator = SimpleNamespace(drawFilledEllipse2d=_p.draw_ellipse)
+EllipseGenerator = SimpleNamespace(drawFilledEllipse2d=lambda image, amplitude, centre, half, angle=0.0: _p.draw_ellipses(image, [_p.Ellipse(amplitude, tuple(centre), tuple(half), angle)]))
 NoNoise, GaussianNoise, PoissonNoise = _p.no_noise, _p.gaussian_noise, _p.poisson_noise
 EDF = SimpleNamespace(read=_f.read_edf, write=_f.write_edf)
 MHD = SimpleNamespace(read=_f.read_mhd, write=_f.write_mhd)

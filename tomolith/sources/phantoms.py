@@ -1,8 +1,8 @@
 """Synthetic volumes and noise, generated on the executors from an index range.
 
-Solids are rasterised by a containment predicate per shape: the (few) shapes become column
-expressions over ``range(size)``, so a voxel needs no join and no shuffle. Only the 2-D
-integer ellipse rasteriser runs on the driver; its output is one image of a phantom.
+Solids and the ellipses of images are rasterised by a containment predicate per shape: the
+(few) shapes become column expressions over ``range(size)``, so a voxel needs no join and no
+shuffle, and nothing is drawn on the driver.
 """
 
 from __future__ import annotations
@@ -150,66 +150,82 @@ def rasterize(spark: SparkSession, grid: Grid, solids: Sequence[Solid], blending
     return Vector.generate(spark, grid, value)
 
 
-def _ellipse_rows(half_x: int, half_y: int) -> dict[int, int]:
-    """Half widths of the rows of a filled integer ellipse, by the midpoint rule (all tests in integers)."""
-    rows: dict[int, int] = {}
-    a2, b2 = half_x * half_x, half_y * half_y
-    # Steep part: one row at a time, the half width shrinks when the midpoint leaves the ellipse.
-    x, y, error = half_x, 0, 0
-    while b2 * x >= a2 * y:
-        rows[y] = x
-        error += a2 * (2 * y + 1)
-        y += 1
-        if 2 * error + b2 * (1 - 2 * x) > 0:
-            error += b2 * (1 - 2 * x)
-            x -= 1
-    # Flat part from the pole: a row is drawn when the next column would leave it.
-    x, y, error = 0, half_y, 0
-    while b2 * x < a2 * y:
-        error += b2 * (2 * x + 1)
-        x += 1
-        if 2 * error + a2 * (1 - 2 * y) > 0:
-            rows[y] = x - 1
-            error += a2 * (1 - 2 * y)
-            y -= 1
-    return rows
-
-
-def draw_ellipse(image: np.ndarray, amplitude: float, centre: Sequence[int], half: Sequence[int], angle: float = 0.0) -> None:
-    """Adds a filled ellipse to image[x, y]; y points up. A rotation is drawn as a shear of an upright ellipse."""
-    hx, hy = (int(h) for h in half)
-    if hx == 0 and hy == 0:
-        return
-    slope_x, slope_y = 1, 0
-    if hx != hy and math.fmod(angle, 180) != 0:
-        w = math.radians(angle)
-        theta = math.atan2(-hy * math.tan(w), hx)
-        slope_x = math.floor(hx * math.cos(theta) * math.cos(w) - hy * math.sin(theta) * math.sin(w))
-        slope_y = math.floor(hx * math.cos(theta) * math.sin(w) + hy * math.sin(theta) * math.cos(w))
-        hx, hy = abs(slope_x), hy * hx // abs(slope_x)
-    height = image.shape[1]
-    for dy, width in _ellipse_rows(hx, hy).items():
-        for dx in range(-width, width + 1):
-            shear = int(dx * slope_y / slope_x)  # truncated towards zero
-            for row in {centre[1] + dy + shear, centre[1] - dy + shear}:
-                x, y = centre[0] + dx, height - row
-                if not (0 <= x < image.shape[0] and 0 <= y < height):
-                    raise ValueError("the ellipse leaves the image")
-                image[x, y] += amplitude
-
-
-def shepp_logan_image(n: int) -> np.ndarray:
-    """The 2-D phantom, drawn on the driver: the ellipses of the 3-D table in the plane of the second to last axis."""
-    grid, image = Grid((n, n)), np.zeros((n, n))
-    for a, hx, hy, _, x, y, _, phi, _, _ in SHEPP_LOGAN_3D:
-        draw_ellipse(image, a, (scale_shift(grid, x), scale_shift(grid, y)), (scale(grid, hx), scale(grid, hy)), phi)
-    return image
+def _whole(a: Column, b: int) -> Column:
+    """Whole part of a / b for a >= 0, exact below 2**53."""
+    return ((a - a % F.lit(b)) / F.lit(b)).cast("long")
+
+
+def _whole_root(a: Column) -> Column:
+    return F.floor(F.sqrt(F.greatest(a, F.lit(0)).cast("double"))).cast("long")
+
+
+def in_ellipse(x: Column, y: Column, a: int, b: int) -> Column:
+    """Whether a lattice point x, y >= 0 from the centre is in the filled lattice ellipse of half axes a and b.
+
+    With e(x, y) = b^2 x^2 + a^2 y^2 - a^2 b^2, a point next to the border is inside if the midpoint to its neighbour
+    is. Where the border is steep the neighbour lies beside it, e(x, y) + e(x - 1, y) <= 0; where it is flat, below
+    it, e(x, y) + e(x, y - 1) <= 0, and each row is at least one point wider than the row above. Both are solved for
+    the half width of row y; the slope b^2 x : a^2 y there says which holds. A half axis of 0 leaves the middle row.
+    """
+    if not a or not b:
+        return (y == 0) & (x <= a)
+    aa, bb = a * a, b * b
+
+    def level(r: Column) -> Column:
+        v = 2 * aa * bb - aa * (2 * r * r - 2 * r + 1)
+        return F.when(v >= 0, _whole_root(_whole(v, 2 * bb))).otherwise(-1)
+
+    flat = F.greatest(level(y), level(y + 1) + 1)
+    steep = _whole(_whole_root(_whole(4 * aa * (bb - y * y), bb) - 1) + 1, 2)
+    return (y <= b) & (x <= F.when(bb * flat < aa * y, flat).when(bb * steep >= aa * y, steep).otherwise(-1))
+
+
+@dataclass(frozen=True)
+class Ellipse:
+    """A filled ellipse of an image; y points up, a rotation (degrees) shears an upright ellipse of equal area and width."""
+
+    amplitude: float
+    centre: tuple[int, int]
+    half: tuple[int, int]
+    angle: float = 0.0
+
+    def contains(self, x: Column, y: Column, height: int) -> Column:
+        """For pixel columns x and y of an image with so many rows (y counts downwards)."""
+        a, b = (int(h) for h in self.half)
+        if a == 0 and b == 0:
+            return F.lit(False)
+        right, rise = 1, 0
+        if a != b and math.fmod(self.angle, 180) != 0:
+            # The rightmost point of the rotated ellipse: x = sqrt(a^2 cos^2 + b^2 sin^2), x y = (a^2 - b^2) sin cos.
+            c, s = math.cos(math.radians(self.angle)), math.sin(math.radians(self.angle))
+            far = math.copysign(math.hypot(a * c, b * s), c)
+            right, rise = math.floor(far), math.floor((a * a - b * b) * s * c / far)
+            if not right:  # thinner than a pixel
+                return F.lit(False)
+            a, b = abs(right), a * b // abs(right)
+        dx = x - int(self.centre[0])
+        up = height - y - int(self.centre[1]) - (dx * F.lit(rise) / F.lit(right)).cast("long")
+        return F.transform(F.array(F.abs(up)), lambda row: in_ellipse(F.abs(dx), row, a, b))[0]  # the row is computed once
+
+
+def draw_ellipses(image: Vector, ellipses: Sequence[Ellipse]) -> Vector:
+    """Adds filled ellipses to a 2-D image, pixel by pixel on the executors; what leaves the image is cut off."""
+    grid = image.desc
+    if grid.ndim != 2:
+        raise ValueError("ellipses are drawn into images of two dimensions")
+
+    def value(i: Column) -> Column:
+        x, y = grid.column(i, 0), grid.column(i, 1)
+        return sum((F.when(e.contains(x, y, grid.shape[1]), float(e.amplitude)).otherwise(0.0) for e in ellipses), F.col("val"))
+
+    return Vector(image.df.select("idx", value(F.col("idx")).alias("val")), grid)
 
 
 def shepp_logan(spark: SparkSession, shape: Sequence[int]) -> Vector:
     grid = _square(shape)
-    if grid.ndim == 2:
-        return Vector.from_array(spark, shepp_logan_image(grid.shape[0]), grid)
+    if grid.ndim == 2:  # the ellipses of the table in the plane of the second to last axis
+        flat = [Ellipse(a, (scale_shift(grid, x), scale_shift(grid, y)), (scale(grid, hx), scale(grid, hy)), phi) for a, hx, hy, _, x, y, _, phi, _, _ in SHEPP_LOGAN_3D]
+        return draw_ellipses(Vector.full(spark, grid), flat)
     solids = []
     for a, hx, hy, hz, x, y, z, *euler in SHEPP_LOGAN_3D:
         half = tuple(float(scale(grid, h)) for h in (hx, hy, hz))
@@ -220,16 +236,29 @@ def shepp_logan(spark: SparkSession, shape: Sequence[int]) -> Vector:
 
 #: Physical width in cm that each FORBILD phantom fills.
 FORBILD_WIDTHS = {"head": 25.6, "thorax": 50.0, "abdomen": 40.0}
+SOLIDS = "kind string, amplitude double, cx double, cy double, cz double, hx double, hy double, hz double, phi double, theta double, psi double, axis int, clip_x double, ord int"
+
+
+def read_solids(spark: SparkSession, path: str) -> list[Solid]:
+    """Solids in centimetres from a Parquet table (or a CSV file with a header) of columns ``SOLIDS``; a phantom has at most some hundred."""
+    names = [c.split()[0] for c in SOLIDS.split(", ")]
+    table = spark.read.csv(path, header=True, schema=SOLIDS) if path.endswith(".csv") else spark.read.parquet(path)
+    out = []
+    for r in table.select(*names).orderBy("ord").toLocalIterator():
+        out.append(Solid(r.kind, r.amplitude, (r.cx, r.cy, r.cz), (r.hx, r.hy, r.hz), (r.phi or 0.0, r.theta or 0.0, r.psi or 0.0), 2 if r.axis is None else r.axis, r.clip_x, r.ord))
+    return out
 
 
-def forbild(spark: SparkSession, n: int, width: float, solids: Sequence[Solid]) -> Vector:
+def forbild(spark: SparkSession, n: int, width: float | str, solids: Sequence[Solid] | str) -> Vector:
     """A FORBILD phantom of n^3 voxels from its published list of solids in centimetres, later ones overwriting.
 
-    The lists (hundreds of numbers each) are data for the caller to supply, for instance read
-    from a Parquet table of solids; this function scales them and leaves out solids that are
-    thinner than half a voxel or have a negative amplitude.
+    ``width`` is a length or the name of a phantom (``FORBILD_WIDTHS``). The lists (several hundred solids) are
+    data for the caller to supply, as solids or as the path of a table of them; this function scales them and leaves
+    out solids that are thinner than half a voxel or have a negative amplitude.
     """
     grid, top = Grid((n, n, n)), n - 1
+    width = FORBILD_WIDTHS[width] if isinstance(width, str) else width
+    solids = read_solids(spark, solids) if isinstance(solids, str) else solids
     length = lambda v: v * top / width
     place = lambda v: _half_up((v + width / 2) * top / width)
     out = []
