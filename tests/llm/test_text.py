@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +67,13 @@ def naive_tiles(p, t, least):
 
 
 def test_tiling_covers_what_the_definition_covers():
-    for seed in range(25):
+    for seed in range(60):
         rng = np.random.default_rng(seed)
-        p = rng.integers(0, 12, 40)
+        p = rng.integers(0, (2, 3, 12)[seed % 3], 40)
         parts = np.array_split(p, 3)
         t = np.concatenate([rng.integers(12, 20, 15), parts[2], rng.integers(12, 20, 9), parts[0], rng.integers(0, 12, 10)])
         got = op2_decontaminate.tiles(p.astype(np.int64), t.astype(np.int64))
-        assert sorted(n for _, _, n in got)[-1] == max(naive_tiles(p.tolist(), t.tolist(), 5))
-        assert sum(n for _, _, n in got) >= 0.9 * sum(naive_tiles(p.tolist(), t.tolist(), 5))
+        assert [n for _, _, n in got] == naive_tiles(p.tolist(), t.tolist(), 5)
         for a, b, n in got:
             assert (p[a : a + n] == t[b : b + n]).all()
         used = [i for a, _, n in got for i in range(a, a + n)]
@@ -86,6 +87,28 @@ def test_tiling_takes_the_rest_of_an_occluded_match():
     assert sorted(n for _, _, n in op2_decontaminate.tiles(np.arange(32), t)) == [7, 7, 9, 9]
 
 
+def test_decontamination_against_the_definition(spark):
+    """Every document against every item, over a small vocabulary with reordered, cut and overlapping passages."""
+    rnd = random.Random(8)
+    items = [(i, " ".join(f"V{rnd.randrange(25)}" for _ in range(rnd.choice((3, 5, 8, 22, 40))))) for i in range(25)]
+    docs = [(0, None), (1, ""), (2, items[3][1].replace(" ", "_")), (None, items[4][1])]
+    for i in range(3, 60):
+        w = rnd.choice(items)[1].split()
+        cut = sorted(rnd.sample(range(len(w) + 1), 2))
+        pieces = [w[: cut[0] + 3], w[cut[0] : cut[1]], w[cut[1] :], [f"v{rnd.randrange(25)}" for _ in range(rnd.randrange(30))]]
+        rnd.shuffle(pieces)
+        docs.append((i, ", ".join(x for p in pieces for x in p)))
+    want = []
+    for d, t in docs:
+        for k, x in items:
+            p = op2_decontaminate.tokens(x)
+            n = naive_tiles(p, op2_decontaminate.tokens(t), 5) if len(p) >= 5 else []
+            if n and sum(n) >= 0.6 * len(p):
+                want.append((d, k, len(p), sum(n), len(n)))
+    got = op2_decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(str, (tuple(r)[:5] for r in got.collect()))) == sorted(map(str, want)) and len(want) > 20
+
+
 @pytest.mark.parametrize("block_chars", [4_000_000, 60])
 def test_decontamination(spark, monkeypatch, block_chars):
     monkeypatch.setattr(op2_decontaminate, "BLOCK_CHARS", block_chars)
@@ -118,6 +141,76 @@ def test_html():
     assert op5_html.main_text("<article><p>cut off <b>in the") == "cut off in the"
 
 
+def test_html_links_around_blocks():
+    long = "The story of the man and the sea was told in this long text for all of us to read on a day of rest."
+    teaser = "Another story of the week that is long enough to be a text of its own, for the one and the other."
+    page = f'<div><p>{long}</p><a href="/x"><h3>Read on</h3><p>{teaser}</p></a><p>{long}</p><p><a href="y">unclosed {teaser}<p>{long}</p></div>'
+    assert op5_html.main_text(page) == f"{long}\n{long}\n{long}"
+    assert op5_html.main_text("<p title=don't>" + long + "</p><p>it's " + long) == f"{long}\nit's {long}"
+    assert op5_html.main_text("<article><p>1 < 2 and <b>3 > 2</b></p><p>x <y") == "1 < 2 and 3 > 2\nx <y"
+
+
+def test_html_zones():
+    """Open blocks take the label of their own zone; tables stay in the article and go elsewhere."""
+    long = "The story of the man and the sea was told in this long text for all of us to read on a day of rest."
+    table = " ".join(f"x{i}" for i in range(60))
+    page = f"<nav>a</nav><article><h2>Head</h2><p>{long}</p><p>{table}</p><p>End.</p></article><footer>{long}</footer>"
+    assert op5_html.main_text(page) == f"Head\n{long}\n{table}\nEnd."
+    assert op5_html.main_text(page.replace("article>", "div>")) == f"Head\n{long}"  # the table says no, and the last block stands beside it
+    assert op5_html.main_text(f"<div>{long}</div><article><p>Short one.</p></article><p>{table}</p>") == f"{long}\nShort one."
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<" + "a" * 10**6, '<a href="x' * 100_000, '<a x=">" ' * 120_000, "<div>" * 100_000 + "</b>" * 100_000, "<nav>" + "<div>" * 60_000 + "<article></article>" * 20_000, "<head>" * 150_000, "&" * 10**6])
+def test_html_of_hostile_pages_in_linear_time(page):
+    start = time.perf_counter()
+    op5_html.main_text(page)
+    assert time.perf_counter() - start < 5
+
+
+class Articles(HTMLParser):
+    """The article of the tables' pages: text of p and heading elements, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.out = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.out.append("")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.out.append("")
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.out[-1] += data
+
+    def text(self, page):
+        self.feed(page)
+        self.close()
+        return [t for t in (" ".join(x.split()) for x in self.out) if t]
+
+
+def test_html_query_against_another_parser(spark, sf_dir):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in op5_html.op5_html_extraction(spark, sf_dir).collect()}
+    want = {k: "\n".join(Articles().text(v)) for k, v in pages.items()}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
+def test_html_rules_without_article_markup(spark, sf_dir):
+    """Density, length and neighbours alone find most blocks and take in nothing else."""
+    found = kept = right = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        want = Articles().text(r.html)
+        got = op5_html.main_text(r.html.replace("article>", "div>")).split("\n")
+        found, kept, right = found + len(want), kept + len(got), right + len(set(want) & set(got))
+    assert right >= 0.8 * found and right >= 0.9 * kept
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (3, "v", "<article>" + "<p>word of the day</p>" * 3000, "x")]
     got = op5_html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
@@ -157,10 +250,25 @@ def test_packing_table(spark):
         assert (r.bin_id is None) == (r.n_words == 0)
         if r.bin_id is not None:
             bins[r.bin_id] = bins.get(r.bin_id, 0) + r.n_words
+    source = {(d, size(t)): s for d, t, s in rows}
+    texts = {d: t for d, t, _ in rows}
+    held = [(r.bin_id, source.get((r.id, size(texts[r.id])))) for r in out if r.bin_id is not None]
+    assert len(held) == len(set(held)), "no bin holds a source twice"
     assert max(bins.values()) <= op6_packing.CAPACITY and len({r.bin_id for r in out if r.id == 7 and r.n_words == 3}) == 2
     assert op6_packing.packed(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 
 
+@pytest.mark.parametrize("cluster", [None, "family"])
+def test_packing_keeps_clusters_apart(spark, cluster):
+    rows = [(i, text(40) if cluster else f"copy number {i % 5} " * 9, f"s{i}", None if i >= 90 else f"c{i % 5}") for i in range(100)]
+    out = op6_packing.packed(spark.createDataFrame(rows, "doc_id long, text string, source string, family string"), cluster_col=cluster).collect()
+    held = [(r.bin_id, r.id % 5 if cluster is None or r.id < 90 else r.id) for r in out]
+    assert len(out) == 100 and len(held) == len(set(held))
+    # Groups count pieces: one long text makes as many groups as many short ones.
+    long = op6_packing.packed(spark.createDataFrame([(1, text(3000), "s")], "doc_id long, text string, source string"), capacity=100, group=10).collect()
+    assert len(long) == 30 and len({r.bin_id >> 32 for r in long}) > 1
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from([*"\\<s>/[]INSTUR ab", "</s>", "[INST]", "[/TURN]", "é"]), max_size=40).map("".join))
 def test_escape_round_trip(said):

@@ -7,17 +7,22 @@ first, then shorter ones, never overlapping, so passages in another order are fo
 A pair is reported when the tiles cover at least ``THRESHOLD`` of the item's words.
 
 The benchmark goes to the workers in blocks of bounded size (hashed by item, so their
-number follows the benchmark and the memory does not); documents are never shuffled.
+number follows the benchmark and the memory does not), and each worker indexes a block once;
+documents are never shuffled, and read once for each block.
 
 Words are maximal runs of letters and digits, case folded. Items of fewer than MIN_MATCH
-words cannot be told from chance and match nothing. Null texts have no words. Repeated
-rows give repeated results; null ids are carried. Empty tables give an empty result.
+words cannot be told from chance and match nothing. Null texts have no words. Texts of any
+length are tiled whole. Of equally long stretches the first in the item, then in the text, is
+marked. Repeated rows give repeated results; null ids are carried. Empty tables give an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,8 @@ from . import kernels as K
 
 MIN_MATCH = 5
 THRESHOLD = 0.6
-#: Characters of benchmark text that one block may hold on average.
-BLOCK_CHARS = 4_000_000
+#: Characters of benchmark text that one block may hold on average; each block takes a scan of the documents.
+BLOCK_CHARS = 16_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -75,7 +80,11 @@ def _matches(p: np.ndarray, t: np.ndarray, p_free: np.ndarray, t_free: np.ndarra
 
 
 def tiles(p: np.ndarray, t: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiling of two strings of non-negative ids; ids below 0 match nothing."""
+    """Greedy tiling of two strings of non-negative ids (ids below 0 match nothing): always the longest common stretch of
+    unmarked words becomes a tile, of equally long ones the first in p, then in t, until none of ``min_match`` is left.
+
+    Matches of ``size`` or more are taken in that order; of one that a tile has cut the free rests stay in line.
+    """
     p_free, t_free = p >= 0, t >= 0
     hash_p, hash_t = K.Rolling(p), K.Rolling(t)
     size, out = max(min_match, min(20, len(p), len(t))), []
@@ -85,16 +94,22 @@ def tiles(p: np.ndarray, t: np.ndarray, min_match: int = MIN_MATCH) -> list[tupl
         if longest > 2 * size:
             size = longest
             continue
-        before = len(out)
-        for n, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if p_free[a : a + n].all() and t_free[b : b + n].all():
-                p_free[a : a + n] = False
-                t_free[b : b + n] = False
-                out.append((a, b, n))
+        line = [(-n, a, b) for n, a, b in found]
+        heapify(line)
+        while line:
+            n, a, b = heappop(line)
+            free = p_free[a : a - n] & t_free[b : b - n]
+            if free.all():
+                p_free[a : a - n] = False
+                t_free[b : b - n] = False
+                out.append((a, b, -n))
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for i, j in edge.reshape(-1, 2).tolist():
+                if j - i >= size:
+                    heappush(line, (i - j, a + i, b + i))
         if size <= min_match:
-            if len(out) == before:
-                return out
-            continue  # what longer tiles left free of an overlapping match may be a tile itself
+            return out
         size = max(min_match, size // 2)
 
 
@@ -129,10 +144,13 @@ class Index:
         lo, hi = np.searchsorted(self.seed, hashes, "left"), np.searchsorted(self.seed, hashes, "right")
         rows = K.slices_of(lo, hi - lo)
         out = []
+        rows = rows[np.argsort(self.owner[rows], kind="stable")]
         owner, place = self.owner[rows], self.place[rows]
-        for item in np.unique(owner):
-            id_, p = self.items[item]
-            if _spread(len(p), place[owner == item], MIN_MATCH).sum() < threshold * len(p):
+        for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(owner)) + 1):
+            if not len(at):
+                continue
+            id_, p = self.items[owner[at[0]]]
+            if _spread(len(p), place[at], MIN_MATCH).sum() < threshold * len(p):
                 continue  # even if all seeds were tiles
             got = tiles(p, t)
             covered = sum(n for _, _, n in got)
@@ -141,6 +159,16 @@ class Index:
         return out
 
 
+_LAST: list[tuple[str, Index]] = []
+
+
+def _index(name: str, shared) -> Index:  # noqa: ANN001
+    """The index of a broadcast block, built once per worker process; only the latest is held."""
+    if not _LAST or _LAST[0][0] != name:
+        _LAST[:] = [(name, Index(shared.value))]
+    return _LAST[0][1]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (doc_id, item_id, n_words, n_covered, n_tiles, th) at or above the threshold; th is xxhash64 of the document's text."""
     spark = docs.sparkSession
@@ -150,8 +178,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = -(-chars // BLOCK_CHARS) or 1
 
     def searcher(shared):  # noqa: ANN001, ANN202
+        name = uuid.uuid4().hex
+
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = _index(name, shared)
             for batch in batches:
                 out = [(id_, *x, th) for id_, text, th in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True) for x in index.search(text.as_py(), threshold)]
                 cols = list(zip(*out, strict=True)) or [()] * 6

@@ -1,21 +1,27 @@
 """HTML extraction by two-pass block rules.
 
-The page is cut into blocks at block-level tags. Pass one classifies each block by where it
-stands (menus, forms, adverts and the like are out, whatever they say), its link density,
-its length and its stop-word density; short blocks without a clear sign stay open. Pass two
-gives an open block the label of the nearest decided block (of two equally near, the good
-one only if both are good).
+The page is cut into blocks at block-level tags. Pass one classifies every block: link-heavy
+ones, and those that stand in menus, forms, adverts and the like, are out; long or middling
+ones with enough stop words are main text; long ones without stop words are out unless they
+stand in the article (tables, code); short ones and headings stay open, wherever they stand.
+Where an article element holds main text, blocks outside it are out. Pass two gives an open
+block the label of the nearest decided block, one of its own zone (article, menu, rest of the
+page) before any other; of two equally near, the good one only if both are good, a heading
+the one that follows. A zone without decided blocks keeps its open ones if it is the article.
 
 Scripts, styles, comments and unseen elements are removed whole; character references are
 decoded; white space inside a block becomes one space; blocks are joined by one newline.
-Unclosed and crossing tags are tolerated. Null or empty html: empty text. Repeated rows
-and null ids are carried; other columns are ignored. Texts of any length are read whole.
+Unclosed and crossing tags are tolerated, as are ``<`` and quotes that close nowhere; the scan
+takes linear time whatever the page. Null or empty html: empty text. Repeated rows and null
+ids are carried, ties need no order, an empty table gives an empty result; other columns are
+ignored, whatever their names. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,8 +53,10 @@ OUT_WORDS = (
 #: Of these, the ones that count on an article element.
 OUT_ARTICLES = "ad advert advertisement comment comments promo related replies reply sidebar sponsored".split()
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
-_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in UNSEEN}
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: Attributes up to the end of a tag; quotes count only behind an equals sign.
+_ATTRIBUTES = re.compile(r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+""")
+_CLOSE = {t: re.compile(rf"</{t}\s*+>", re.I) for t in UNSEEN}
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -71,10 +79,59 @@ def _marks_out(name: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Block:
-    __slots__ = ("article", "heading", "linked", "out", "text")
+    __slots__ = ("article", "heading", "linked", "out", "text", "zone")
 
-    def __init__(self, text: str, linked: int, out: bool, article: bool, heading: bool):
-        self.text, self.linked, self.out, self.article, self.heading = text, linked, out, article, heading
+    def __init__(self, text: str, linked: int, out: bool, article: bool, heading: bool, zone: int):
+        self.text, self.linked, self.out, self.article, self.heading, self.zone = text, linked, out, article, heading, zone
+
+
+class _Scanner:
+    """Tags of a page in order, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.last = page.rfind(">")  # no tag ends behind it
+        self.quotes = True  # until a quote or tag closes nowhere: then tags end at the next >
+        self.unclosed: set[str] = set()
+
+    def next(self) -> tuple[str, str, str, str]:
+        """(text before, "/" or "", name, attributes); the name is empty for comments, declarations and the page's end."""
+        page, begin, look = self.page, self.at, self.at
+        while True:
+            lt = page.find("<", look)
+            if lt < 0 or lt >= self.last:
+                if lt >= 0 and page.startswith("<!--", lt):  # a comment without an end
+                    self.at = len(page)
+                    return page[begin:lt], "", "", ""
+                self.at = len(page)
+                return page[begin:], "", "", ""
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                self.at = len(page) if end < 0 else end + 3
+                return page[begin:lt], "", "", ""
+            if page[lt + 1] in "!?":
+                self.at = page.find(">", lt) + 1
+                return page[begin:lt], "", "", ""
+            m = _NAME.match(page, lt + 1)
+            if not m:
+                look = lt + 1
+                continue
+            end = _ATTRIBUTES.match(page, m.end()).end() if self.quotes else -1
+            if end < 0 or end == len(page) or page[end] != ">":
+                self.quotes = False
+                end = page.find(">", m.end())
+            self.at = end + 1
+            return page[begin:lt], m[1], m[2].lower(), page[m.end() : end]
+
+    def skip(self, name: str) -> None:
+        """Behind the end tag of an element that is not seen; one without an end takes the rest of the page (a head: nothing)."""
+        c = None if name in self.unclosed else _CLOSE[name].search(self.page, self.at)
+        if c:
+            self.at = c.end()
+            return
+        self.unclosed.add(name)
+        if name != "head":
+            self.at = len(self.page)
 
 
 def blocks(page: str) -> list[_Block]:
@@ -82,53 +139,60 @@ def blocks(page: str) -> list[_Block]:
     found: list[_Block] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are outside the main text
-    linked = out = article = 0
-    link = heading = False
-    breaks = 0
+    marked: list[int] = []  # places in the stack of those that only their names mark as outside
+    opened: Counter[str] = Counter()
+    linked = out = article = zone = breaks = 0
+    state = (False, False)
+    link = -1  # elements open around the link that is open
+    heading = False
+    scan = _Scanner(page)
 
     def close_block() -> None:
-        nonlocal parts, linked, breaks
+        nonlocal parts, linked, breaks, zone, state
         text = " ".join("".join(parts).split())
         if text:
-            found.append(_Block(text, linked, out > 0, article > 0, heading))
+            if state != (now := (out > 0, article > 0)):
+                zone, state = zone + 1, now
+            found.append(_Block(text, linked, *now, heading, zone))
         parts, linked, breaks = [], 0, 0
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TAG.search(page, at)
-        raw = page[at : m.start() if m else end]
+    def pop() -> str:
+        nonlocal out, article, link
+        n, was_out = stack.pop()
+        opened[n] -= 1
+        out -= was_out
+        article -= n in ("article", "main")
+        if marked and marked[-1] == len(stack):
+            marked.pop()
+        if link > len(stack):
+            link = -1
+        return n
+
+    while scan.at < len(page):
+        raw, closing, name, attributes = scan.next()
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if text.strip():
                 breaks = 0
-                if link:
+                if link >= 0:
                     linked += len(" ".join(text.split()))
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
         if not name:
             continue
-        if m[1]:  # an end tag
+        if closing:
             if name in _BLOCKS:
                 close_block()
             if name == "a":
-                link = False
+                link = -1
             if name[0] == "h" and name[1:] in "123456":
                 heading = False
-            if any(n == name for n, _ in stack):
-                while True:
-                    n, was_out = stack.pop()
-                    out -= was_out
-                    article -= n in ("article", "main")
-                    if n == name:
-                        break
+            if opened[name]:
+                while pop() != name:
+                    pass
             continue
         if name in _UNSEEN:
-            if not m[3].endswith("/"):
-                c = _CLOSE[name].search(page, at)
-                at = c.end() if c else (at if name == "head" else end)
+            if not attributes.endswith("/"):
+                scan.skip(name)
             parts.append(" ")
             continue
         if name == "br":
@@ -139,53 +203,54 @@ def blocks(page: str) -> list[_Block]:
             continue
         if name in _BLOCKS:
             close_block()
-            link = False
             heading = name[0] == "h" and name[1:] in ("1", "2", "3", "4", "5", "6")
-            if name in ("p", "li", "tr", "td", "th", "dd", "dt", "option"):  # end tags that may be left out
-                if stack and stack[-1][0] == name or (stack and name == "p" and stack[-1][0] == "p"):
-                    n, was_out = stack.pop()
-                    out -= was_out
+            if name in ("p", "li", "tr", "td", "th", "dd", "dt", "option") and stack and stack[-1][0] == name:  # end tags that may be left out
+                pop()
         elif name == "a":
-            link = True
-        if name in _VOID or m[3].endswith("/"):
+            link = len(stack)
+        if name in _VOID or attributes.endswith("/"):
             continue
         if name in _BLOCKS or name in ("span", "ins"):
-            if name in ("article", "main") and not any(n in ("article", "main") for n, _ in stack):
-                for i, (n, was_out) in enumerate(stack):  # an unclosed advert does not swallow the article
-                    if was_out and n not in _OUT:
-                        stack[i] = (n, False)
-                        out -= 1
-            marks = _marks_out(name, m[3], article > 0)
+            if name in ("article", "main") and not article:
+                for i in marked:  # an unclosed advert does not swallow the article
+                    stack[i] = (stack[i][0], False)
+                    out -= 1
+                marked = []
+            marks = _marks_out(name, attributes, article > 0)
+            if marks and name not in _OUT:
+                marked.append(len(stack))
             stack.append((name, marks))
+            opened[name] += 1
             out += marks
             article += name in ("article", "main")
     close_block()
     return found
 
 
+def density(text: str) -> float:
+    """Share of stop words among the words."""
+    words = _LETTERS.findall(text.lower())
+    return sum(w in _STOP for w in words) / max(1, len(words))
+
+
+def first_pass(b: _Block) -> bool | None:
+    """Whether a block is main text by its own links, length and stop words and by where it stands; None if that does not say."""
+    n = len(b.text)
+    if b.out or b.linked > LINKS * n:
+        return False
+    if n < SHORT or b.heading:
+        return False if b.text.startswith(("©", "Copyright")) else None
+    stop = density(b.text)
+    if stop >= STOP_HIGH or (stop >= STOP_LOW and n >= LONG):
+        return True
+    return None if stop >= STOP_LOW or b.article else False
+
+
 def labels(found: list[_Block]) -> list[bool]:
     """Whether each block is main text."""
-    first: list[bool | None] = []
-    for b in found:
-        n = len(b.text)
-        if b.out or b.linked > LINKS * n:
-            first.append(False)
-            continue
-        if b.article:
-            first.append(True)
-            continue
-        words = _LETTERS.findall(b.text.lower())
-        density = sum(w in _STOP for w in words) / max(1, len(words))
-        if n < SHORT or b.heading:
-            first.append(False if b.text.startswith(("©", "Copyright")) else None)
-        elif density >= STOP_HIGH or (density >= STOP_LOW and n >= LONG):
-            first.append(True)
-        elif density >= STOP_LOW:
-            first.append(None)
-        else:
-            first.append(False)
+    first = [first_pass(b) for b in found]
     if any(x and b.article for x, b in zip(first, found, strict=True)):
-        first = [bool(x) and b.article for x, b in zip(first, found, strict=True)]  # the page says where its article is
+        first = [x if b.article else False for x, b in zip(first, found, strict=True)]  # the page says where its article is
     decided = [i for i, x in enumerate(first) if x is not None]
     out: list[bool] = []
     k = 0
@@ -195,15 +260,17 @@ def labels(found: list[_Block]) -> list[bool]:
             continue
         while k < len(decided) and decided[k] < i:
             k += 1
-        before, after = (decided[k - 1] if k else None), (decided[k] if k < len(decided) else None)
-        if before is None and after is None:
+        near = [j for j in ((decided[k - 1] if k else None), (decided[k] if k < len(decided) else None)) if j is not None]
+        own = [j for j in near if found[j].zone == found[i].zone]
+        if not own and found[i].article:
+            out.append(True)
+        elif not near:
             out.append(not found[i].heading or len(found) == 1)
-        elif after is None or (before is not None and i - before < after - i):
-            out.append(bool(first[before]))
-        elif before is None or after - i < i - before:
-            out.append(bool(first[after]))
         else:
-            out.append(bool(first[after]) if found[i].heading else bool(first[before] and first[after]))
+            near = own or near
+            least = min(abs(i - j) for j in near)
+            near = [j for j in near if abs(i - j) == least]
+            out.append(bool(first[near[-1]]) if found[i].heading else all(first[j] for j in near))
     return out
 
 

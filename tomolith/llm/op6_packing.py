@@ -2,16 +2,20 @@
 
 Documents longer than a bin are cut into full pieces and a rest; pieces are dealt by hash
 to packing groups of about ``GROUP`` pieces (so that copies and hot sources spread evenly),
-and each group is packed on its own, largest piece first. Bins are kept ordered by what is
+and each group is packed on its own, largest piece first: the tightest bin is that of the group. Bins are kept ordered by what is
 left in them and carry two bitmaps, of sources and of duplicate clusters. A piece goes to
 the tightest bin that fits and shares neither a source nor a cluster with it: the search
 starts at the first bin with room enough and moves to the successor until one is compatible;
 a new bin is opened if none is. Only ids and sizes are shuffled, never texts.
 
+Duplicate clusters are those of ``cluster_col``, any column that equal members share (the
+component of a near-duplicate search, for instance); without one they are exact copies up to case.
+
 Sizes are words. Null or wordless texts take no room and get no bin (bin_id null, piece 0).
 A null source is a source of its own; rows of one id are told apart by their text; ties in
 size are broken by cluster, id and piece. Repeated rows conflict with themselves and so
-never share a bin. An empty table gives an empty result.
+never share a bin; a null cluster is one of its own. Texts of any length are cut into pieces. An
+empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import native as N
+from .components import saved
 
 CAPACITY = 1024
 GROUP = 4096
@@ -60,15 +65,16 @@ def best_fit(pieces: Sequence[tuple[int, str, int]], capacity: int) -> list[tupl
 PACKED = "id long, piece int, n_words int, bin_id long, bin_offset int"
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, group: int = GROUP, cluster_col: str | None = None) -> DataFrame:
     """One row per piece: id, piece, n_words, bin_id, bin_offset."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    items = docs.select(
-        docs[id_col].cast("long").alias("id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"), F.xxhash64(F.lower(text)).alias("cluster"), F.size(N.words(text)).alias("size")
-    )
-    cut = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / capacity).cast("int") - 1, F.lit(0)))
-    items = items.withColumn("piece", F.explode(cut)).withColumn("n_words", F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)))
-    groups = docs.select(F.lit(1)).count() // group + 1
+    own = F.xxhash64(F.lower(text))
+    cluster = own if cluster_col is None else F.when(docs[cluster_col].isNotNull(), F.xxhash64(docs[cluster_col].cast("string"))).otherwise(F.xxhash64(own, docs[id_col]))
+    items = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"), cluster.alias("cluster"), F.size(N.words(text)).alias("size"))
+    items = saved(items)  # the texts are read once; what follows needs ids and sizes only
+    number = F.greatest(F.ceil(F.col("size") / capacity).cast("int"), F.lit(1))
+    groups = (items.agg(F.sum(number)).first()[0] or 0) // group + 1
+    items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), number - 1))).withColumn("n_words", F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)))
     items = items.withColumn("g", F.pmod(F.xxhash64("cluster", "id", "piece"), F.lit(groups)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
