@@ -4,10 +4,12 @@ The query's contract is 4 words and 85 %; callers may give others.
 
 1. Documents with equal shingle sets are one class.
 2. Routing (exact, no link is lost): shingles fall into m hashed parts. Two linked sets
-   differ in at most d shingles, so with more than d non-empty parts they agree on a whole
-   part; classes that agree on a part meet. m and d follow the size of the sets, and each
-   class takes part at two neighbouring size levels so that all compatible sizes meet.
-   Shared passages bring no one together: a part agrees only if nothing else is in it.
+   differ in at most d shingles, so of m = d + 1 + s parts they agree on s + 1 whole ones or
+   more; classes that agree on a part meet. The s smallest parts of a set are not used: they
+   are the ones that unlike texts with a common line may agree on. m, d and s follow the size
+   of the sets, and each class takes part at two neighbouring size levels so that all
+   compatible sizes meet. Shared passages bring few together: a part agrees only if nothing
+   else is in it.
 3. Classes that meet, directly or through others, form a group. Each group becomes a
    *signature tree*: leaves are classes, nodes hold the OR of token bitmaps, size ranges
    and whether all below are already connected. The tree is traversed against itself;
@@ -79,25 +81,25 @@ def class_ids(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def levels(num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size levels: first size of each, and for the sets of levels j and j+1 the most shingles d in which two linked ones differ, and the number of parts."""
+    """Size levels: first size of each, and for the sets of levels j and j+1 the most shingles d in which two linked ones differ, and how many of the parts need not be used."""
     edge = [1]
     while edge[-1] < 1 << 40:
         edge.append(max(edge[-1] + 1, (edge[-1] - 1) * den // num + 1))
     e = np.array(edge, np.int64)
     d = 2 * (e[2:] - 1) * (den - num) // (den + num)
-    return e, d, d + 3 + (d + 1) // 40
+    return e, d, (d + 2) // 5
 
 
 def parts(h: np.ndarray, off: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
     """Hashed parts of every set as (number of the set, hash of scheme, part and content)."""
-    edge, most, number = levels(num, den)
+    edge, most, spare = levels(num, den)
     n = np.diff(off)
     level = np.searchsorted(edge, n, "right") - 1
     sets, out = [], []
     for step in (0, 1):
         scheme = level - step
         use = np.flatnonzero((n > 0) & (scheme >= 0))
-        m = number[scheme[use]]
+        m = most[scheme[use]] + 1 + spare[scheme[use]]
         begin = np.cumsum(m) - m
         size = n[use]
         rows = K.slices_of(off[use], size)
@@ -106,10 +108,13 @@ def parts(h: np.ndarray, off: np.ndarray, num: int = NUM, den: int = DEN) -> tup
         total = np.zeros(int(m.sum()), np.uint64)
         np.add.at(total, at.astype(np.int64), K.mix(x))
         owner = np.repeat(np.arange(len(use)), m)
-        full = np.bincount(at.astype(np.int64), minlength=len(total)) > 0
-        enough = np.bincount(owner, full, len(use)) > most[scheme[use]]
+        count = np.bincount(at.astype(np.int64), minlength=len(total))
+        # Linked sets agree on one part more than are spare, and what they agree on has one size in both:
+        # the smallest parts may go in each, as long as all of a size go and no more than are spare.
+        order = np.sort(owner << 40 | count)
+        least = order[begin + spare[scheme[use]]] & ((1 << 40) - 1) if len(use) else order
+        keep = count >= least[owner]
         place = np.arange(len(total)) - begin[owner] + scheme[use][owner] * (1 << 34)
-        keep = full | ~enough[owner]  # an empty part counts only where the others might not do
         sets.append(use[owner[keep]])
         out.append(K.mix(total[keep] + K.mix(place[keep].astype(np.uint64))))
     return np.concatenate(sets), np.concatenate(out)
