@@ -33,7 +33,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,12 +248,13 @@ def _meetings(read: DataFrame, words: int, num: int, den: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
             key, cid = np.concatenate(held, axis=1)
             lead, a, b = _met(key, cid)
-            yield C.rows(key[lead], cid[lead], C.PARENT)
-            for t in C.forest(a, b):
-                yield t.filter(pa.compute.equal(t.column(2), C.EDGE))
+            node, root = C.union_find(a, b)
+            node, root = node[node != root], root[node != root]
+            link = K.mix(node.view(np.uint64) + K.mix(root.view(np.uint64))).view(np.int64)  # a part of its own that two classes agree on
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[lead], link, link])), pa.array(np.concatenate([cid[lead], node, root]))], ["key", "cid"])
 
         for batch in batches:
             seen = np.zeros(0, np.int64)
@@ -269,20 +269,16 @@ def _meetings(read: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 held.append(np.stack([key.view(np.int64), cid[pick][owner]]))
                 size += len(key)
                 if size >= C.BATCH:
-                    yield from done()
+                    yield done()
                     held, size = [], 0
         if held:
-            yield from done()
+            yield done()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, size = [], 0
         held = None  # the last part, and the class that its others are linked with
-        for batch in batches:  # sorted by key; kind PARENT: (part, class), kind EDGE: a link found before
-            key, cid, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            edge = kind == C.EDGE
-            links.append(np.stack([key[edge], cid[edge]]))
-            size += int(edge.sum())
-            key, cid = key[~edge], cid[~edge]
+        for batch in batches:  # sorted by key
+            key, cid = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             if not len(key):
                 continue
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -300,7 +296,7 @@ def _meetings(read: DataFrame, words: int, num: int, den: int) -> DataFrame:
             yield from C.forest(*np.concatenate(links, axis=1))
 
     n = int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = read.select("id", "text").mapInArrow(emit, C.FOREST)
+    keyed = read.select("id", "text").mapInArrow(emit, "key long, cid long")
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, C.FOREST)
 
 
