@@ -18,18 +18,19 @@ def key(doc_id):
     return LAST if doc_id is None else doc_id
 
 
-def substrings(rows, size=20):
-    docs = [(d, WORDS.findall(t or "")) for d, t in rows]
+def substrings(rows, size=20, hashes=None):
+    """rows: (doc_id, text); rows of one id are ordered by the hash of their text."""
+    docs = [(d, (key(d), (hashes or {}).get(t or "", 0)), WORDS.findall(t or "")) for d, t in rows]
     first = {}
-    for d, w in docs:
+    for _, order, w in docs:
         for s in range(len(w) - size + 1):
-            k, at = tuple(w[s : s + size]), (key(d), s)
-            first[k] = min(first.get(k, at), at)
+            k = tuple(w[s : s + size])
+            first[k] = min(first.get(k, (order, s)), (order, s))
     out = []
-    for d, w in docs:
+    for d, order, w in docs:
         gone = [False] * len(w)
         for s in range(len(w) - size + 1):
-            if first[tuple(w[s : s + size])] < (key(d), s):
+            if first[tuple(w[s : s + size])] < (order, s):
                 gone[s : s + size] = [True] * size
         out.append((d, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))))
     return sorted(out, key=str)

@@ -67,10 +67,8 @@ def test_substrings(spark, docs, monkeypatch, block):
     monkeypatch.setattr(A, "BLOCK_BYTES", block)
     out = op4_substrings.remove_repeats(df)
     got = rows_of(out.select("id", "n_words", "n_removed", F.sha2("kept", 256)))
-    # Rows with one id but different texts are ordered by text, which the brute-force version leaves open.
-    unclear = {5}
-    keep = lambda x: [r for r in x if r[0] not in unclear]
-    assert keep(got) == keep(brute.substrings(rows))
+    hashes = {r.text or "": r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    assert got == brute.substrings(rows, hashes=hashes)
     assert sum(r[2] for r in got) > 0
 
 
@@ -91,6 +89,27 @@ def test_subtrees_split_by_longer_prefixes():
     assert whole == split
 
 
+def test_maximal_repeats():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        symbols = rng.integers(0, 3, 120).astype(np.uint32)
+        start = np.arange(120)
+        end = np.where(start < 70, 70, 120)  # two texts
+        tails = {i: tuple(symbols[i : end[i]].tolist()) for i in start}
+        classes = {}
+        for i, t in tails.items():
+            if len(t) >= 5:
+                classes.setdefault(t[:5], []).append(i)
+        want = set()
+        for members in classes.values():
+            if len(members) > 1:
+                shared = 5
+                while len({tails[i][shared : shared + 1] for i in members} - {()}) == 1 and all(len(tails[i]) > shared for i in members):
+                    shared += 1
+                want.add((frozenset(members), shared))
+        assert {(frozenset(r.tolist()), n) for r, n in op4_substrings.maximal_repeats(symbols, start, end, 5)} == want
+
+
 @pytest.mark.parametrize("block", [16 << 20, 3000])
 def test_components(spark, docs, monkeypatch, block):
     rows, df = docs

@@ -3,8 +3,8 @@
 A window (20 words, 200 bytes) is known by its *anchor*: the least of the hashed grams
 inside it. Equal windows have equal anchors, so
 
-1. ``repeated_anchors`` finds anchors that occur twice or more and packs them into a
-   bitmap of fixed size (a false bit costs work, never a result);
+1. ``routes`` counts the anchors and packs those that occur twice or more into a bitmap
+   (sized by their number up to a bound; a false bit costs work, never a result);
 2. ``contexts`` emits, for each occurrence of such an anchor, the stretch of text that
    holds all windows with this anchor, and keeps one of equal stretches per chunk with
    their number (so that a text with a million copies is not sent a million times);
@@ -12,6 +12,11 @@ inside it. Equal windows have equal anchors, so
    and hands them to the operator's solver, which flags windows;
 4. ``apply`` joins the flags back to the documents and rewrites their texts.
 
+A group whose stretches would not fit a block (one passage amid many different texts) is
+split by the longest prefix there is: the windows of such a *hot* anchor are dealt out one by
+one, each by a hash of all its symbols, equal ones merged on the way. Their groups are the
+classes of equal windows, of one row for each sender, and need no solver.
+
 Only windows that *differ* from the default (a candidate window is a repeat) travel back,
 so the traffic follows the distinct text, not the number of copies.
 """
@@ -23,13 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .components import saved
 
-#: log2 of the bits in the bitmap of repeated anchors: 16 MB, whatever the input.
-BITMAP_LOG2 = 27
+#: log2 of the bits in a bitmap: eight for each key, at least 2**17 and at most 2**27 (16 MB) whatever the input.
+BITMAP_LOG2 = (17, 27)
 #: Bytes of stretches that a solver gets at once (more only if one anchor has more).
 BLOCK_BYTES = 1 << 20
 #: Bytes of text within which equal stretches are merged before the shuffle.
@@ -49,6 +56,11 @@ class Windows:
     def symbol_bytes(self) -> int:
         return 4 if self.by_word else 1
 
+    @property
+    def stretch_bytes(self) -> int:
+        """The most that all windows with one anchor occurrence take."""
+        return (2 * self.size - self.gram) * self.symbol_bytes
+
 
 @dataclass
 class Runs:
@@ -97,7 +109,7 @@ def runs(spec: Windows, c: K.Chunk) -> Runs:
 
 
 def in_bitmap(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    b = (key & np.uint64((1 << BITMAP_LOG2) - 1)).astype(np.int64)
+    b = (key & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
     return ((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -107,47 +119,66 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_th"))
 
 
-def bitmap_of(keys: DataFrame) -> bytes:
-    """The fixed-size bitmap of a column ``key`` of longs."""
-    bucket = F.col("key").bitwiseAND(F.lit((1 << BITMAP_LOG2) - 1))
+def bitmap_of(keys: DataFrame, count: int) -> bytes:
+    """A bitmap of a column ``key`` of so many longs."""
+    log2 = min(max((8 * count).bit_length(), BITMAP_LOG2[0]), BITMAP_LOG2[1])
+    bucket = F.col("key").bitwiseAND(F.lit((1 << log2) - 1))
     rows = (
         keys.select(F.shiftright(bucket, 15).alias("part"), bucket.bitwiseAND(F.lit(32767)).alias("bit"))
         .groupBy("part")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
-    out = np.zeros((1 << BITMAP_LOG2) // 8, np.uint8)
+    out = np.zeros((1 << log2) // 8, np.uint8)
     for part, bits in rows.toLocalIterator():
         out[part * 4096 : part * 4096 + 4096] = np.frombuffer(bits, np.uint8)
     return out.tobytes()
 
 
-def repeated_anchors(prep: DataFrame, spec: Windows) -> bytes:
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in K.chunks(batch.column(0)):
-                key, n = np.unique(runs(spec, c).key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["key", "n"])
+@dataclass(frozen=True)
+class Routes:
+    """Bitmaps of the anchors that occur more than once, and of those whose unlike stretches may not fit a block."""
 
-    keys = prep.select("_text").mapInArrow(emit, "key long, n int")
-    return bitmap_of(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
+    repeated: Broadcast
+    hot: Broadcast
 
 
+def routes(prep: DataFrame, spec: Windows) -> Routes:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in K.chunks(batch.column(0)):
+                r = runs(spec, c)
+                stretch = r.rolling.slices(r.start, r.start + r.count + spec.size - 1)
+                order = np.lexsort((stretch, r.key))
+                key, stretch = r.key[order], stretch[order]
+                new = np.append(True, np.diff(key) != 0)[: len(key)]
+                unlike = new | np.append(True, np.diff(stretch) != 0)[: len(key)]
+                head = np.flatnonzero(new)
+                n, d = (np.add.reduceat(x, head) if len(head) else head for x in (np.ones(len(key), np.int64), unlike.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(np.minimum(n, 2)), pa.array(d)], ["key", "n", "d"])
+
+    keys = prep.select("_text").mapInArrow(emit, "key long, n long, d long")
+    counts = saved(keys.groupBy("key").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).where("n > 1").select("key", "d"))
+    hot = counts.where(F.col("d") > BLOCK_BYTES // spec.stretch_bytes)
+    context = prep.sparkSession.sparkContext
+    return Routes(*(context.broadcast(bitmap_of(x.select("key"), x.count())) for x in (counts, hot)))
+
+
+#: In place of the anchor's place: a window of a hot anchor, sent without its symbols.
+_ALONE = -1
 CONTEXT = "key long, hash long, id long, th long, start int, windows int, n long, body binary, anchor int"
 _CONTEXT = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("n", pa.int64()), ("body", pa.binary()), ("anchor", pa.int32())])
 
 
 def merged(hash_: np.ndarray, id_: np.ndarray, th: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal stretches, the index of the earliest and the sum of ``n``."""
-    order = np.lexsort((th, start, id_, hash_))
+    order = np.lexsort((start, th, id_, hash_))
     head = np.flatnonzero(np.append(True, np.diff(hash_[order].view(np.int64)) != 0)) if len(order) else np.zeros(0, np.int64)
     return order[head], np.add.reduceat(n[order], head) if len(order) else n
 
 
-def contexts(prep: DataFrame, spec: Windows, bitmap: bytes) -> DataFrame:
-    shared = prep.sparkSession.sparkContext.broadcast(bitmap)
-
+def contexts(prep: DataFrame, spec: Windows, by: Routes) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits, hot_bits = (np.frombuffer(x.value, np.uint8) for x in (by.repeated, by.hot))
         for batch in batches:
             ids = batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
             ths = batch.column(1).to_numpy(zero_copy_only=False)
@@ -158,11 +189,19 @@ def contexts(prep: DataFrame, spec: Windows, bitmap: bytes) -> DataFrame:
                 r = r.keep(in_bitmap(bits, r.key))
                 size += len(c.data)
                 if len(r.start):
-                    length = r.count + spec.size - 1
-                    hash_ = r.rolling.slices(r.start, r.start + length)
-                    id_, th, start = ids[c.first + r.doc], ths[c.first + r.doc], r.start - r.at[r.doc]
-                    pick, n = merged(hash_, id_, th, start, np.ones(len(hash_), np.int64))
-                    found.append([r.key[pick], hash_[pick], id_[pick], th[pick], start[pick], r.count[pick], n, r.anchor[pick], r.symbols[K.slices_of(r.start[pick], length[pick])]])
+                    hot = in_bitmap(hot_bits, r.key)
+                    h, r = r.keep(hot), r.keep(~hot)
+                    alone = K.slices_of(h.start, h.count)
+                    start = np.concatenate([r.start, alone])
+                    count = np.concatenate([r.count, np.ones(len(alone), np.int64)])
+                    doc = np.concatenate([r.doc, np.repeat(h.doc, h.count)])
+                    anchor = np.concatenate([r.anchor, np.full(len(alone), _ALONE)])
+                    hash_ = r.rolling.slices(start, start + count + spec.size - 1)
+                    key = np.concatenate([r.key, K.mix(hash_[len(r.start) :])])
+                    id_, th, place = ids[c.first + doc], ths[c.first + doc], start - r.at[doc]
+                    pick, n = merged(hash_, id_, th, place, np.ones(len(hash_), np.int64))
+                    length = np.where(anchor[pick] == _ALONE, 0, count[pick] + spec.size - 1)
+                    found.append([key[pick], hash_[pick], id_[pick], th[pick], place[pick], count[pick], n, anchor[pick], length, r.symbols[K.slices_of(start[pick], length)]])
                 if size >= MERGE_BYTES:
                     yield from stretches(found)
                     found, size = [], 0
@@ -171,9 +210,8 @@ def contexts(prep: DataFrame, spec: Windows, bitmap: bytes) -> DataFrame:
     def stretches(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not found:
             return
-        key, hash_, id_, th, start, count, n, anchor, symbols = (np.concatenate(x) for x in zip(*found, strict=True))
+        key, hash_, id_, th, start, count, n, anchor, length, symbols = (np.concatenate(x) for x in zip(*found, strict=True))
         pick, n = merged(hash_, id_, th, start, n)
-        length = count + spec.size - 1
         body = symbols[K.slices_of((np.cumsum(length) - length)[pick], length[pick])]
         off = np.append(0, np.cumsum(length[pick] * spec.symbol_bytes)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -205,7 +243,7 @@ class Block:
         return np.repeat(np.arange(len(self.id)), self.windows), K.slices_of(self.at[:-1], self.windows)
 
 
-FLAGS = "id long, th long, start int, flags binary"
+FLAGS = "id long, th long, start int, windows int, flags binary"
 
 
 def _table(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -228,18 +266,32 @@ def _block(t: pa.RecordBatch, spec: Windows) -> Block:
     return Block(col(2), col(3), col(4).astype(np.int64), col(5).astype(np.int64), col(6), body, (off - off[0]) // spec.symbol_bytes, col(8).astype(np.int64))
 
 
-def solve(ctx: DataFrame, spec: Windows, solver: Callable[[Block], np.ndarray]) -> DataFrame:
-    """``solver`` gives one boolean for each window of a block: True where the default does not hold."""
+def solve(ctx: DataFrame, spec: Windows, solver: Callable[[Block], np.ndarray], alone: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``solver`` gives one boolean for each window of a block: True where the default does not hold.
+
+    ``alone`` gives it for the earliest window of each class of equal ones, from their numbers.
+    """
 
     def rows(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        b = _block(_merge(t), spec)
+        t = _merge(t)
+        hot = t.column(8).to_numpy(zero_copy_only=False) == _ALONE
+        one, t = t.filter(pa.array(hot)), t.filter(pa.array(~hot))
+        if one.num_rows:
+            hit = pa.array(alone(one.column(6).to_numpy(zero_copy_only=False)))
+            one = one.filter(hit)
+            yield flagged(*(one.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5)), [b"\1"] * one.num_rows)
+        if not t.num_rows:
+            return
+        b = _block(t, spec)
         flags = solver(b)
         at = np.append(0, np.cumsum(b.windows))
         hit = np.flatnonzero(np.add.reduceat(flags, at[:-1])) if len(flags) else np.zeros(0, np.int64)
         packed = [np.packbits(flags[at[i] : at[i + 1]], bitorder="little").tobytes() for i in hit]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(b.id[hit], mask=b.id[hit] == _LAST), pa.array(b.th[hit]), pa.array(b.start[hit].astype(np.int32)), pa.array(packed, pa.binary())], ["id", "th", "start", "flags"]
-        )
+        yield flagged(b.id[hit], b.th[hit], b.start[hit], b.windows[hit], packed)
+
+    def flagged(id_: np.ndarray, th: np.ndarray, start: np.ndarray, windows: np.ndarray, packed: list[bytes]) -> pa.RecordBatch:
+        cols = [pa.array(id_, mask=id_ == _LAST), pa.array(th), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(packed, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["id", "th", "start", "windows", "flags"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -272,14 +324,13 @@ def solve(ctx: DataFrame, spec: Windows, solver: Callable[[Block], np.ndarray])
     return ctx.repartition(int(n), "key").sortWithinPartitions("key").mapInArrow(work, FLAGS)
 
 
-def apply(prep: DataFrame, spec: Windows, bitmap: bytes, flags: DataFrame, out: str, rewrite: Callable[[Runs, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
+def apply(prep: DataFrame, spec: Windows, by: Routes, flags: DataFrame, out: str, rewrite: Callable[[Runs, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``rewrite(runs of a chunk, covered symbols)`` gives the columns ``out`` after ``id``."""
-    shared = prep.sparkSession.sparkContext.broadcast(bitmap)
-    grouped = flags.groupBy("id", "th").agg(F.collect_list(F.struct("start", "flags")).alias("_flags"))
+    grouped = flags.groupBy("id", "th").agg(F.collect_list(F.struct("start", "windows", "flags")).alias("_flags"))
     joined = prep.join(grouped, prep["_id"].eqNullSafe(grouped["id"]) & (prep["_th"] == grouped["th"]), "left").select("_id", "_text", "_flags")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits = np.frombuffer(by.repeated.value, np.uint8)
         for batch in batches:
             lists = batch.column(2)
             for c in K.chunks(batch.column(1)):
@@ -287,18 +338,16 @@ def apply(prep: DataFrame, spec: Windows, bitmap: bytes, flags: DataFrame, out:
                 r = r.keep(in_bitmap(bits, r.key))
                 default = np.repeat(True, int(r.count.sum()))
                 begin = np.append(0, np.cumsum(r.count))
-                # Where each run starts, as one sortable number: document and start.
-                at = r.start
                 part = lists.slice(c.first, len(c))
                 size = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 flat = part.flatten()
                 start = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(r.at[:-1], size)
-                run = np.searchsorted(at, start)
-                data, off = K.text_buffers(flat.field(1))
+                run = np.searchsorted(r.start, start, "right") - 1
+                data, off = K.text_buffers(flat.field(2))
                 bit = np.unpackbits(data[off[0] : off[-1]], bitorder="little") if len(start) else np.zeros(0, np.uint8)
-                count = r.count[run]
+                count = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 source = K.slices_of((off[:-1] - off[0]) * 8, count)
-                default[K.slices_of(begin[run], count)] = bit[source] == 0
+                default[K.slices_of(begin[run] + start - r.start[run], count)] = bit[source] == 0
                 window = K.slices_of(r.start, r.count)[default]
                 step = np.zeros(len(r.symbols) + 1, np.int32)
                 step[: len(r.symbols)] += np.bincount(window, minlength=len(r.symbols)).astype(np.int32)[: len(r.symbols)] if len(r.symbols) else 0

@@ -302,7 +302,8 @@ def _meetings(read: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 def _bodies(read: DataFrame, units: DataFrame, words: int) -> DataFrame:
     """``units`` (cid, rep, unit, side, label) with the sets (body), read again from the representatives."""
-    bitmap = A.bitmap_of(units.select(F.xxhash64("rep").alias("key")))
+    reps = units.select(F.xxhash64("rep").alias("key"))
+    bitmap = A.bitmap_of(reps, reps.count())
     shared = read.sparkSession.sparkContext.broadcast(bitmap)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

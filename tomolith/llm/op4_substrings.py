@@ -1,14 +1,15 @@
 """Substring dedup: words that a repeated 20-word passage covers go, its first occurrence stays.
 
 Prefix-partitioned suffix trees. The suffixes that can matter are those whose first 20
-words occur twice (``anchors`` routes them, grouped by a gram that all of a group share).
-Within a group, variable-length prefixes split the suffixes into subtrees, top down, two
-words a level: a subtree of one suffix is a leaf and is dropped, what is left at a depth
-of 20 words or more are the internal nodes, each one maximal class of equal windows.
-Groups too large for the memory budget are split by their first words before that.
-
-Order of occurrences: doc_id (null last), then text (of rows that share a doc_id), then
-start. Defined results: null text: no words. Rows with equal doc_id and text are the same
+words occur twice. ``anchors`` deals them out by variable-length prefixes: by a gram of eight
+words that a group shares, and where such a group would not fit its memory by all 20 words.
+Within a group, longer prefixes split the suffixes into subtrees, top down, two words a
+level: a subtree of one suffix is a leaf and is dropped, what is left at a depth of 20 words
+are the deep internal nodes, each a maximal class of equal windows; ``maximal_repeats``
+follows their edges on to the words where their suffixes part.
+
+Order of occurrences: doc_id (null last), then a hash of the text (of rows that share a doc_id),
+then start. Texts of any length are read whole. Defined results: null text: no words. Rows with equal doc_id and text are the same
 document twice: both stay whole. Fewer than 20 words: nothing is removed. Empty table:
 empty result. Other columns are ignored, whatever their names.
 """
@@ -58,6 +59,27 @@ def deep_nodes(symbols: np.ndarray, start: np.ndarray, size: int, budget: int =
     return out
 
 
+def maximal_repeats(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, size: int = SIZE) -> list[tuple[np.ndarray, int]]:
+    """(suffix numbers, length) of the deep internal nodes: sets of suffixes symbols[start:end] that share ``size`` symbols or more, and all that they share."""
+    out = []
+    whole = start + size <= end
+    number = np.flatnonzero(whole)
+    for rows, node in deep_nodes(symbols, start[whole], size):
+        rows = number[rows]
+        head = np.flatnonzero(np.append(True, np.diff(node) != 0))
+        which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(rows))))
+        length = np.full(len(head), size)
+        grows = np.ones(len(head), bool)
+        while grows.any():  # along the edge below the node, until the suffixes part or one ends
+            at = start[rows] + length[which]
+            inside = at < end[rows]
+            next_ = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)].astype(np.int64), -1)
+            grows &= np.logical_and.reduceat(inside & (next_ == next_[head][which]), head)
+            length += grows
+        out += [(r, int(n)) for r, n in zip(np.split(rows, head[1:]), length, strict=True)]
+    return out
+
+
 def first_windows(b: A.Block) -> np.ndarray:
     """True for a window of a stretch's earliest occurrence that starts nowhere earlier."""
     owner, start = b.window_starts()
@@ -85,9 +107,9 @@ def _rewrite(r: A.Runs, covered: np.ndarray) -> Iterator[pa.Array]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_removed, kept (words left, joined by one space)."""
     spec, prep = A.Windows(SIZE, GRAM, True), A.prepared(docs, id_col, text_col)
-    bitmap = A.repeated_anchors(prep, spec)
-    flags = A.solve(A.contexts(prep, spec, bitmap), spec, first_windows)
-    return A.apply(prep, spec, bitmap, flags, "n_words long, n_removed long, kept string", _rewrite)
+    by = A.routes(prep, spec)
+    flags = A.solve(A.contexts(prep, spec, by), spec, first_windows, lambda n: np.ones(len(n), bool))
+    return A.apply(prep, spec, by, flags, "n_words long, n_removed long, kept string", _rewrite)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

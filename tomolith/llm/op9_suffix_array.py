@@ -85,9 +85,9 @@ def _rewrite(r: A.Runs, covered: np.ndarray) -> Iterator[pa.Array]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept (the bytes left)."""
     spec, prep = A.Windows(SIZE, GRAM, False), A.prepared(docs, id_col, text_col)
-    bitmap = A.repeated_anchors(prep, spec)
-    flags = A.solve(A.contexts(prep, spec, bitmap), spec, single_windows)
-    return A.apply(prep, spec, bitmap, flags, "n_bytes long, n_removed long, n_spans long, kept binary", _rewrite)
+    by = A.routes(prep, spec)
+    flags = A.solve(A.contexts(prep, spec, by), spec, single_windows, lambda n: n == 1)
+    return A.apply(prep, spec, by, flags, "n_bytes long, n_removed long, n_spans long, kept binary", _rewrite)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
