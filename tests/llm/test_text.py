@@ -5,11 +5,13 @@ import random
 import time
 from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tomolith.llm import kernels as K
 from tomolith.llm import op2_decontaminate, op5_html, op6_packing, op7_chat, op8_urls
@@ -328,3 +330,42 @@ def test_url_model_on_held_out_rows():
     marked = [op8_urls._marked(u.split("://")[1].split("/")[0], "/" + u.split("://")[1].split("/", 1)[1]) for u, _ in rows[:cut]]
     guess = op8_urls.scores(pa.array(marked), weights) > 0
     assert (guess == np.array([y for _, y in rows[:cut]])).mean() > 0.95
+
+
+def test_url_model_on_unseen_hosts():
+    """Pairs of words and invented words that the labelled table does not have."""
+    known = " ".join(u for u, _ in op8_urls.labelled_urls())
+    bad = [x for k, w in enumerate(op8_urls.BAD_NAMES) for x in (f"{w}-{op8_urls.MILD[(k + 9) % 16]}", f"{op8_urls.MILD[(k + 2) % 16]}{w}", f"{w}-{op8_urls.BAD_NAMES[(k + 3) % 40]}")]
+    good = [x for k, w in enumerate(op8_urls.GOOD_NAMES) for x in (f"{w}-{op8_urls.GOOD_NAMES[(k + 5) % 40]}", f"{w}{op8_urls.GOOD_NAMES[(k + 17) % 40]}")] + [op8_urls._invented(i) for i in range(700, 900)]
+    hosts = [(x, y) for names, y in ((bad, True), (good, False)) for x in names if x not in known]
+    guess = op8_urls.scores(pa.array([op8_urls._marked(f"www.{x}.com", f"/en/{i}") for i, (x, _) in enumerate(hosts)]), op8_urls.default_weights()) > 0
+    truth = np.array([y for _, y in hosts])
+    assert len(hosts) > 300 and (guess & truth).sum() >= 0.95 * truth.sum() and (guess & truth).sum() >= 0.95 * guess.sum()
+
+
+def test_url_labels_are_sampled_by_hash(spark):
+    rows = [(f"http://a{i}.com/", i % 2) for i in range(300)] + [(None, 1), ("http://x/", None)]
+    table = spark.createDataFrame(rows, "url string, label int")
+    some = op8_urls.read_labels(table, most=100)
+    assert len(some) == 100 and some == op8_urls.read_labels(table.orderBy(F.desc("url")), most=100) and set(some) < set(rows)
+    assert len({u[8] for u, _ in some}) == 10  # not the first of the alphabet
+    weights = op8_urls.train(op8_urls.read_labels(table))
+    assert op8_urls.judged(spark.createDataFrame([(1, "http://q.org/")], "page_id long, url string"), weights=weights).count() == 1
+
+
+def test_url_columns_against_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.create_function("low", lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x), ["VARCHAR"], "VARCHAR")
+    sql = f"""
+    WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS scheme FROM '{sf_dir}/pages.parquet'),
+    r AS (SELECT page_id, CASE WHEN scheme > 0 THEN substr(url, scheme + 3) ELSE '' END AS rest FROM u),
+    h AS (SELECT page_id, low(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    t(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    m AS (SELECT page_id, arg_max(t.h || t.p, length(t.h || t.p)) AS rule, arg_max(v, length(t.h || t.p)) AS verdict FROM h JOIN t ON ((h.host = t.h OR h.host LIKE '%.' || t.h) AND starts_with(h.path, t.p)) GROUP BY 1)
+    SELECT page_id, host, path, rule, verdict FROM h LEFT JOIN m USING (page_id)"""
+    want = {r[0]: r[1:] for r in con.sql(sql).fetchall()}
+    got = op8_urls.op8_url_filter(spark, sf_dir).collect()
+    assert len(got) == len(want)
+    for r in got:
+        host, path, rule, verdict = want[r.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
