@@ -120,4 +120,20 @@ def test_files(spark, tmp_path):
     for call in (lambda: IO.read(spark, "x.png"), lambda: IO.write(v, "x.png")):
         with pytest.raises(ValueError):
             call()
+    IO.write(v, str(tmp_path / "d.mha"))
+    back = IO.read(spark, str(tmp_path / "d.mha"))
+    assert back.desc == v.desc and np.allclose(back.to_array(), v.to_array())
     assert IO.edf_header("{\n A = 'x;y';\n B = 3 ;\n}") == {"a": "x;y", "b": "3"}
+
+
+def test_large_files_are_read_in_records(spark, tmp_path, monkeypatch):
+    v = Vector.generate(spark, Grid((64, 40)), lambda i: i * 0.5 - 7)
+    IO.write_edf(v, str(tmp_path / "a.edf"), "Double")
+    IO.write_mhd(v, str(tmp_path / "b.mhd"), str(tmp_path / "b.raw"), "MET_SHORT")
+    whole = [IO.read(spark, str(tmp_path / n)).to_array() for n in ("a.edf", "b.mhd")]
+    monkeypatch.setattr(IO, "WHOLE", 1000)
+    for name, want in zip(("a.edf", "b.mhd"), whole, strict=True):
+        assert np.array_equal(IO.read(spark, str(tmp_path / name)).validate().to_array(), want)
+    (tmp_path / "b.raw").write_bytes(b"1234")
+    with pytest.raises(ValueError):
+        IO.read(spark, str(tmp_path / "b.mhd"))

@@ -60,6 +60,17 @@ def complex_sign(z: Column) -> Column:
     return F.when(z["re"] != 0, sign(z["re"])).otherwise(sign(z["im"]))
 
 
+def factorial(n: Column) -> Column:
+    """n! for 0 to 20, else null."""
+    return F.factorial(n.cast("int"))
+
+
+def binom(n: Column, k: Column) -> Column:
+    """Binomial coefficients for n up to 20; 0 for k outside 0 to n."""
+    inside = (k >= 0) & (k <= n)
+    return F.when(inside, (factorial(n) / (factorial(F.when(inside, k)) * factorial(F.when(inside, n - k)))).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
 def heaviside(x: Column, at_zero: float) -> Column:
     return F.when(x > 0, 1.0).otherwise(F.when(x < 0, 0.0).otherwise(at_zero))
 

@@ -507,9 +507,6 @@ UNION ALL SELECT 2, round((aa*(bb*cy-by_*bc) - ab*(ab*cy-by_*ac) + ay*(ab*bc-bb*
 add("phantom_circular", lambda s, d: shown(PH.circular(s, (64, 64), 20.5)), "SELECT g AS idx, (CASE WHEN pow(g % 64 - 32, 2) + pow(g // 64 - 32, 2) <= 20.5 * 20.5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS val FROM range(4096) t(g)")
 add("phantom_rectangle", lambda s, d: shown(PH.rectangle(s, (16, 16, 16), (2, 3, 4), (9, 12, 15))), "SELECT g AS idx, (CASE WHEN g % 16 BETWEEN 2 AND 8 AND (g // 16) % 16 BETWEEN 3 AND 11 AND g // 256 BETWEEN 4 AND 14 THEN 1.0 ELSE 0.0 END)::DOUBLE AS val FROM range(4096) t(g)")
 add("phantom_ellipsoid", lambda s, d: shown(PH.rasterize(s, Grid((24, 24, 24)), [PH.Solid("ellipsoid", 1.5, (12, 11, 10), (8, 6, 5)), PH.Solid("box", 0.25, (12, 12, 12), (4, 4, 4))])), "SELECT g AS idx, (CASE WHEN pow(g % 24 - 12, 2) / 64.0 + pow((g // 24) % 24 - 11, 2) / 36.0 + pow(g // 576 - 10, 2) / 25.0 <= 1 THEN 1.5 ELSE 0.0 END + CASE WHEN abs(g % 24 - 12) <= 4 AND abs((g // 24) % 24 - 12) <= 4 AND abs(g // 576 - 12) <= 4 THEN 0.25 ELSE 0.0 END)::DOUBLE AS val FROM range(13824) t(g)")
-add("phantom_shepp_logan_2d", lambda s, d: shown(PH.shepp_logan(s, (32, 32))))
-add("phantom_shepp_logan_3d", lambda s, d: shown(PH.shepp_logan(s, (24, 24, 24))))
-add("phantom_blob", lambda s, d: shown(PH.smooth_blob(s, (32, 32))))
 add("noise_gaussian", lambda s, d: shown(PH.gaussian_noise(T.balances(s, d), 0.0, 0.1, 7)))
 add("noise_poisson", lambda s, d: shown(PH.poisson_noise(T.balances(s, d), 4.0, 7)))
 
@@ -519,8 +516,6 @@ def _pose_columns(det: G.Detector, s: SparkSession) -> DataFrame:
 
 
 add("trajectory_circle", lambda s, d: _pose_columns(G.circle_trajectory(36, Grid((32, 32)), 350, 100.0, 20.0), s), "SELECT i AS pose, round(16 - 100 * sin(radians(10.0 * i)), 6) + 0.0 AS c0, round(16 - 100 * cos(radians(10.0 * i)), 6) + 0.0 AS c1 FROM range(36) t(i)")
-add("trajectory_limited", lambda s, d: _pose_columns(G.limited_angle_trajectory(30, (40.0, 70.0), Grid((32, 32)), 360, 100.0, 20.0), s))
-add("trajectory_sphere", lambda s, d: _pose_columns(G.sphere_trajectory(40, Grid((8, 8, 8)), 4, 100.0, 20.0), s))
 add("subset_round_robin", lambda s, d: s.createDataFrame([(k, int(p)) for k, ps in enumerate(G.subsets(G.circle_trajectory(20, Grid((8, 8)), 190, 100.0, 20.0), 3)) for p in ps], "subset long, pose long"), "SELECT i % 3 AS subset, i AS pose FROM range(20) t(i)")
 add("subset_rotational", lambda s, d: s.createDataFrame([(k, int(p)) for k, ps in enumerate(G.subsets(G.circle_trajectory(18, Grid((8, 8)), 170, 100.0, 20.0), 3, G.ROTATIONAL_CLUSTERING)) for p in ps], "subset long, pose long"), "SELECT (17 - i) % 3 AS subset, i AS pose FROM range(1, 18) t(i) UNION ALL SELECT 17 % 3, 0")
 
