@@ -35,7 +35,7 @@ def test_names():
     E.set_level("info")
 
 
-@pytest.mark.parametrize("name", ["ew_sub_vectors", "norms", "pnorm_l2", "assign_slice", "adjoint", "op_block_col", "fd_central_adjoint", "dict_apply", "dft_1d", "f_emission", "prox_mixed_l21", "cgne", "cgls", "project_joseph", "trajectory_circle", "subset_rotational"])
+@pytest.mark.parametrize("name", ["ew_sub_vectors", "norms", "pnorm_l2", "assign_slice", "adjoint", "op_block_col", "fd_central_adjoint", "dict_apply", "dft_1d", "f_emission", "prox_mixed_l21", "cgne", "cgls", "sinogram_joseph", "trajectory_circle", "subset_rotational"])
 def test_sql_agrees(spark, sf_dir, name):
     con = duckdb.connect()
     for t in ("customer", "supplier", "part", "orders", "lineitem", "embeddings"):

@@ -95,7 +95,10 @@ class Dictionary(Relation):
 
 def diagonal(a: LinearOperator, spark: SparkSession) -> Vector:
     """The diagonal of a square operator, from its relation or, for a product, by joining the two relations."""
-    if isinstance(a, Product):
+    if isinstance(a, Product) and getattr(a.first, "transposed", None) is a.second and a.second is not None:
+        merged = a.second.relation(spark).groupBy("row", "col").agg(F.sum("w").alias("w"))
+        rows = merged.select(F.col("col").alias("idx"), (F.col("w") * F.col("w")).alias("val"))  # of A*A: the squared lengths of A's columns
+    elif isinstance(a, Product):
         left, right = a.first.relation(spark), a.second.relation(spark)
         if left is None or right is None:
             raise ValueError("the factors have no relations")

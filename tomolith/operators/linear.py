@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tomolith.functions import columns as C
 from tomolith.plans.descriptor import Blocks, Grid, best_block, best_common
+from tomolith.plans import vector as V
 from tomolith.plans.vector import Vector, small
 
 
@@ -83,28 +84,45 @@ def contract(relation: DataFrame, x: Vector, out: Grid, key: str = "row", inner:
 
 
 class Relation(LinearOperator):
-    """A leaf with its entries in a DataFrame (row, col, w); entries of one place add up."""
+    """A leaf with its entries in a DataFrame (row, col, w); entries of one place add up.
 
-    def __init__(self, entries: DataFrame, domain: Grid, range_: Grid):
+    ``by_col`` and ``by_row`` may hold the same entries, partitioned by one of the keys.
+    """
+
+    def __init__(self, entries: DataFrame, domain: Grid, range_: Grid, by_col: DataFrame | None = None, by_row: DataFrame | None = None, transposed: Relation | None = None):
         self.entries, self.domain, self.range = entries.select("row", "col", "w"), domain, range_
+        self.by_col, self.by_row, self.transposed = by_col, by_row, transposed
 
     def relation(self, spark: SparkSession) -> DataFrame:
         return self.entries
 
     def apply(self, x: Vector) -> Vector:
         self._check(x)
-        return contract(self.entries, x, self.range)
+        return contract(self.entries if self.by_col is None else self.by_col, x, self.range)
 
     def apply_adjoint(self, y: Vector) -> Vector:
         if y.size != self.range.size:
             raise ValueError("sizes differ")
-        return contract(self.entries, y, self.domain, "col", "row")
+        return contract(self.entries if self.by_row is None else self.by_row, y, self.domain, "col", "row")
 
     def adjoint(self) -> LinearOperator:
-        return Relation(self.entries.select(F.col("col").alias("row"), F.col("row").alias("col"), "w"), self.range, self.domain)
+        turn = lambda e: None if e is None else e.select(F.col("col").alias("row"), F.col("row").alias("col"), "w")
+        return Relation(turn(self.entries), self.range, self.domain, turn(self.by_row), turn(self.by_col), self)
 
     def persisted(self) -> Relation:
-        return Relation(self.entries.persist(), self.domain, self.range)
+        """Kept for many applications. Where a vector is too large to broadcast, the entries are laid out by column for
+        ``apply`` and by row for its adjoint, so that a step shuffles vectors and partial sums, never the entries."""
+        if max(self.domain.size, self.range.size) <= V.BROADCAST_ROWS:
+            return Relation(self.entries.persist(), self.domain, self.range)
+        n = int(self.entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        laid = lambda key, size: self.entries.repartition(n, key).persist() if size > V.BROADCAST_ROWS else None
+        by_col, by_row = laid("col", self.domain.size), laid("row", self.range.size)
+        return Relation(by_row if by_col is None else by_col, self.domain, self.range, by_col, by_row)
+
+    def unpersist(self) -> None:
+        for e in (self.entries, self.by_col, self.by_row):
+            if e is not None:
+                e.unpersist()
 
     def row_sums(self) -> Vector:
         return self.apply(Vector.full(self.entries.sparkSession, self.domain, 1.0))

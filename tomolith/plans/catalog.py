@@ -439,12 +439,12 @@ def _solver(name: str, run: Callable[[OL.Relation, Vector, SparkSession], Vector
         try:
             return shown(run(a, b.saved(), s).saved(), 4)
         finally:
-            a.entries.unpersist()
+            a.unpersist()
 
     add(name, query, sql)
 
 
-add("power_iter", lambda s, d: (lambda a: scalars(s, 4, value=S.power_iterations(OL.Product(a.adjoint(), a), s)))(T.segments(s, d)[0].persisted()), _power_sql())
+add("power_iter", lambda s, d: (lambda a: scalars(s, 4, value=S.power_iterations(OL.Product(a.adjoint(), a), s)))(T.segments(s, d)[0]), _power_sql())
 _solver("gradient_descent", lambda a, b, s: S.GradientDescent(FN.LeastSquares(a, b), s).solve(4), _landweber_sql(4, lambda c: c.scalar(f"1 / {c.power()}")))
 _solver("landweber", lambda a, b, s: S.Landweber(a, b).solve(4), _landweber_sql(4, lambda c: c.scalar(f"1.8 / {c.power()}")))
 _solver("landweber_projected", lambda a, b, s: S.Landweber(a, b, 0.002, S.box_projection(0.0, 0.15)).solve(4), _landweber_sql(4, lambda c: "0.002", "least(greatest(val, 0.0), 0.15)"))
@@ -488,7 +488,7 @@ def _cgls(s: SparkSession, d: str) -> DataFrame:
     try:
         x = S.CGLS(a, b.saved(), tol=0.0).solve(4).saved()
     finally:
-        a.entries.unpersist()
+        a.unpersist()
     scale = F.array(*[F.lit(n) for n in norms])
     return x.df.select("idx", (F.round(F.col("val") / scale[F.col("idx").cast("int")], 4) + 0.0).alias("val"))
 

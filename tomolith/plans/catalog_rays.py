@@ -184,7 +184,7 @@ def _reconstruction(s: SparkSession, d: str) -> DataFrame:
         back = S.CGLS(a, a.apply(x).saved(), tol=1e-8).solve(10)
         error = FN.L2Squared(volume, x).evaluate(back) * 2 / volume.size
     finally:
-        a.entries.unpersist()
+        a.unpersist()
     return scalars(s, good=float(error < 0.004))
 
 

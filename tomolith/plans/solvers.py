@@ -1,7 +1,9 @@
 """Iterative solvers: driver loops over plans, with scalars (at most a few a step) on the driver.
 
 Iterates are checkpointed (``Vector.saved``), so plans stay short and a lost executor costs
-one step. All solvers are constructed with their problem and run by ``solve(n, x0=None)``.
+one step; what no step reads at once (the running solution) is saved every few steps only.
+Small iterates (``LOCAL_ROWS``) live on the driver, where their sums and lengths take no job;
+of large ones lengths are observed by the job that saves them. All solvers are constructed with their problem and run by ``solve(n, x0=None)``.
 """
 
 from __future__ import annotations
@@ -30,16 +32,26 @@ def power_iterations(a: LinearOperator, spark: SparkSession, n: int = 5) -> floa
         raise ValueError("a square operator is needed")
     u = Vector.full(spark, a.domain, 1.0)
     for _ in range(n):
-        u = a.apply(u).saved()
-        norm = u.l2()
+        u, norm = a.apply(u).saved_norm()
         if norm == 0:
             return 0.0
-        u = u * (1 / norm)
+        u = u * (1 / math.sqrt(norm))
     au = a.apply(u)
+    if u.local is not None:
+        return u.dot(au.saved()) / u.squared_l2()
     r = u.zip(au, lambda p, q: F.struct((p * q).alias("pq"), (p * p).alias("pp"))).df.agg(F.sum("val.pq"), F.sum("val.pp")).first()
     return r[0] / r[1]
 
 
+#: Steps after which a vector that only grows by sums is saved.
+SETTLE = 4
+
+
+def _settled(v: Vector, step: int) -> Vector:
+    """Cheap sums stay open for some steps; small vectors are saved at once, which takes no job."""
+    return v.saved() if v.local is not None or step % SETTLE == SETTLE - 1 else v
+
+
 class Solver:
     def solve(self, n: int, x0: Vector | None = None) -> Vector:
         raise NotImplementedError
@@ -128,22 +140,22 @@ class CGLS(Solver):
             x, s = x0, self.b - a.apply(x0)
             r = a.apply_adjoint(s)
             r = r if not self.damp else lincomb(1.0, r, -self.damp, x)
-        r = r.saved()
-        c, k = r, r.squared_l2()
+        r, k = r.saved_norm()
+        c = r
         enough = max(self.tol, 1e-26 * k)  # beyond that only rounding errors are left
-        for _ in range(n):
+        for step in range(n):
             if k < enough or k == 0:
                 break
-            q = a.apply(c).saved()
-            bend = q.squared_l2() + (self.damp * c.squared_l2() if self.damp else 0.0)
+            q, bend = a.apply(c).saved_norm()
+            bend += self.damp * c.squared_l2() if self.damp else 0.0
             if bend == 0:
                 break
             alpha = k / bend
-            x = lincomb(1.0, x, alpha, c).saved()
-            s = lincomb(1.0, s, -alpha, q).saved()
+            x = _settled(lincomb(1.0, x, alpha, c), step)
+            s = _settled(lincomb(1.0, s, -alpha, q), step)
             r = a.apply_adjoint(s)
-            r = (lincomb(1.0, r, -self.damp, x) if self.damp else r).saved()
-            before, k = k, r.squared_l2()
+            before = k
+            r, k = (lincomb(1.0, r, -self.damp, x) if self.damp else r).saved_norm()
             c = lincomb(1.0, r, k / before, c).saved()
         return x
 
@@ -158,9 +170,9 @@ class CGNE(Solver):
         normal = Product(self.a.adjoint(), self.a)
         rhs = self.a.apply_adjoint(self.b)
         x = _start(self.b.spark, self.a.domain, x0)
-        r = (rhs if x0 is None else rhs - normal.apply(x0)).saved()
-        c, k = r, r.squared_l2()
-        for _ in range(n):
+        r, k = (rhs if x0 is None else rhs - normal.apply(x0)).saved_norm()
+        c = r
+        for step in range(n):
             if k == 0:
                 break
             q = normal.apply(c).saved()
@@ -168,9 +180,9 @@ class CGNE(Solver):
             if bend == 0:
                 break
             alpha = k / bend
-            x = lincomb(1.0, x, alpha, c).saved()
-            r = lincomb(1.0, r, -alpha, q).saved()
-            before, k = k, r.squared_l2()
+            x = _settled(lincomb(1.0, x, alpha, c), step)
+            before = k
+            r, k = lincomb(1.0, r, -alpha, q).saved_norm()
             c = lincomb(1.0, r, k / before, c).saved()
         return x
 
@@ -246,8 +258,7 @@ class FGM(_FirstOrder):
         y, t, step = x, 1.0, 1 / self._lipschitz(x)
         first = None
         for _ in range(n):
-            g = self.f.gradient(x).saved()
-            norm = g.squared_l2()
+            g, norm = self.f.gradient(x).saved_norm()
             first = norm if first is None else first
             if norm <= self.eps**2 * first:
                 break
@@ -268,8 +279,7 @@ class OGM(_FirstOrder):
         y, t, step = x, 1.0, 1 / self._lipschitz(x)
         first = None
         for k in range(n):
-            g = self.f.gradient(x).saved()
-            norm = g.squared_l2()
+            g, norm = self.f.gradient(x).saved_norm()
             first = norm if first is None else first
             if norm <= self.eps**2 * first:
                 break

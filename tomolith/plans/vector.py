@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 class Vector:
     df: DataFrame
     desc: Grid
+    #: The values in index order, held by the driver too: only of saved vectors of up to ``LOCAL_ROWS`` rows.
+    local: np.ndarray | None = None
 
     # --- sources -------------------------------------------------------------------
     @staticmethod
@@ -55,8 +57,9 @@ class Vector:
             parts = [pa.array(np.ascontiguousarray(x, float)) for x in (flat.real, flat.imag)]
             val = pa.StructArray.from_arrays(parts, names=["re", "im"])
         else:
-            val = pa.array(flat.astype(float))
-        return Vector(spark.createDataFrame(pa.table({"idx": pa.array(np.arange(a.size)), "val": val})), desc)
+            flat = flat.astype(float)
+            val = pa.array(flat)
+        return Vector(spark.createDataFrame(pa.table({"idx": pa.array(np.arange(a.size)), "val": val})), desc, flat if a.size <= LOCAL_ROWS else None)
 
     @staticmethod
     def generate(spark: SparkSession, desc: Grid, value: Callable[[Column], Column]) -> Vector:
@@ -114,10 +117,26 @@ class Vector:
         return f"Vector{self.desc.shape}[{', '.join(inner)}]"
 
     def saved(self) -> Vector:
-        """Cut from its lineage: a local relation while the descriptor proves it small, else a checkpoint."""
+        """Cut from its lineage: on the driver while the descriptor proves it small, else a checkpoint."""
+        if self.local is not None:
+            return self
+        if self.size > LOCAL_ROWS:
+            return Vector(saved(self.df), self.desc)
+        t = self.df.toArrow().combine_chunks()
+        idx, val = t.column("idx").to_numpy(), t.column("val").combine_chunks()
+        values = val.field("re").to_numpy(zero_copy_only=False) + 1j * val.field("im").to_numpy(zero_copy_only=False) if self.is_complex else val.to_numpy(zero_copy_only=False)
+        flat = np.zeros(self.size, values.dtype)
+        flat[idx] = values
+        return Vector.from_array(self.spark, flat, self.desc)
+
+    def saved_norm(self) -> tuple[Vector, float]:
+        """Saved, and the squared length, in one job."""
         if self.size <= LOCAL_ROWS:
-            return Vector(self.spark.createDataFrame(self.df.toArrow()), self.desc)
-        return Vector(saved(self.df), self.desc)
+            v = self.saved()
+            return v, v.squared_l2()
+        seen = Observation()
+        v = Vector(saved(self.df.observe(seen, self._squares().alias("n"))), self.desc)
+        return v, float(seen.get["n"] or 0.0)
 
     # --- element-wise ----------------------------------------------------------------
     def map(self, f: Callable[[Column], Column]) -> Vector:
@@ -132,6 +151,10 @@ class Vector:
     def _binary(self, other: Vector | float, f: Callable, g: Callable | None = None) -> Vector:
         """f for real values, g for complex ones."""
         both = isinstance(other, Vector)
+        if self.local is not None and f is not C.div0 and (not both or other.local is not None):
+            if both and self.size != other.size:
+                raise ValueError("vectors differ in size")
+            return Vector.from_array(self.spark, f(self.local, other.local if both else other), self.desc)
         if self.is_complex or (both and other.is_complex) or isinstance(other, complex):
             if g is None:
                 raise TypeError("not defined for complex values")
@@ -232,11 +255,17 @@ class Vector:
         """Several aggregates of ``val`` in one job."""
         return self.df.agg(*[c.alias(k) for k, c in aggregates.items()]).first().asDict()
 
+    def _squares(self) -> Column:
+        v = F.col("val")
+        return F.sum(v["re"] * v["re"] + v["im"] * v["im"] if self.is_complex else v * v)
+
     def _one(self, c: Column, empty: float = 0.0) -> float:
         out = self.df.agg(c.alias("v")).first()["v"]
         return empty if out is None else out
 
     def sum(self) -> float | complex:
+        if self.local is not None:
+            return self.local.sum().item()
         if self.is_complex:
             r = self.reduce(re=F.sum("val.re"), im=F.sum("val.im"))
             return complex(r["re"], r["im"])
@@ -244,12 +273,15 @@ class Vector:
 
     def dot(self, other: Vector) -> float | complex:
         """The left operand is conjugated."""
+        if self.local is not None and other.local is not None and self.size == other.size:
+            return np.vdot(self.local, other.local).item()
         product = self.conj() * other
         return product.sum()
 
     def squared_l2(self) -> float:
-        v = F.col("val")
-        return self._one(F.sum(v["re"] * v["re"] + v["im"] * v["im"] if self.is_complex else v * v))
+        if self.local is not None:
+            return float(np.vdot(self.local, self.local).real)
+        return self._one(self._squares())
 
     def l2(self) -> float:
         return math.sqrt(self.squared_l2())
@@ -355,9 +387,11 @@ class Vector:
 
 
 def lincomb(a: float, x: Vector, b: float, y: Vector) -> Vector:
-    """a*x + b*y in one join and one projection."""
+    """a*x + b*y in one join and one projection, or on the driver if both are held there."""
     if x.size != y.size:
         raise ValueError("vectors differ in size")
+    if x.local is not None and y.local is not None:
+        return Vector.from_array(x.spark, a * x.local + b * y.local, x.desc)
     if x.is_complex or y.is_complex:
         return x * a + y * b
     return x.zip(y, lambda p, q: F.lit(float(a)) * p + F.lit(float(b)) * q)
