@@ -181,3 +181,34 @@ def test_subsets_and_curved_detector(spark):
 def test_identical_blocks_of_slabs():
     a = OB.FiniteDifferences(Grid((3, 2)))
     assert a.range == identical_blocks(Grid((3, 2)), 2)
+
+
+def test_a_laid_out_relation_is_not_shuffled_again(spark, monkeypatch):
+    from tomolith.plans import vector as V
+
+    m = RNG.normal(size=(40, 30)) * (RNG.random((40, 30)) < 0.3)
+    x, y = RNG.normal(size=30), RNG.normal(size=40)
+    plain = relation(spark, m)
+    monkeypatch.setattr(V, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(V, "LOCAL_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = plain.persisted()
+        for op, v, want in ((a, x, m @ x), (a.adjoint(), y, m.T @ y), (a.adjoint().adjoint(), x, m @ x)):
+            out = op.apply(vec(spark, v))
+            assert np.allclose(out.to_array().ravel(), want)
+            plan = out.df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+            assert "InMemoryTableScan" in plan
+            before_join = plan[plan.index("SortMergeJoin") :] if "SortMergeJoin" in plan else plan[plan.index("Join") :]
+            assert before_join.count("Exchange hashpartitioning") - before_join[before_join.index("InMemoryRelation") :].count("Exchange hashpartitioning") <= 1  # the vector's
+        a.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_diagonal_of_a_normal_operator(spark):
+    m = RNG.normal(size=(7, 5))
+    a = relation(spark, m)
+    d = OB.diagonal(OL.Product(a.adjoint(), a), spark).to_array().ravel()
+    assert np.allclose(d, (m**2).sum(0))
+    assert np.allclose(OB.diagonal(OL.Product(relation(spark, m.T), a), spark).to_array().ravel(), (m**2).sum(0))

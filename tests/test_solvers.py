@@ -128,3 +128,24 @@ def test_reconstruction_in_two_dimensions(spark):
     assert np.corrcoef(fbp.ravel(), x.to_array().ravel())[0, 1] > 0.8
     frames = list(reconstruct_frames(a, [b, b], 2))
     assert len(frames) == 2 and FN.LeastSquares(a, b)(frames[1]) < FN.LeastSquares(a, b)(frames[0])
+
+
+@pytest.mark.parametrize(("kind", "shape", "steps", "error"), [("curved", (16, 16), 40, 0.004), ("flat", (16, 16, 16), 20, 0.2)])
+def test_reconstruction_accuracy(spark, kind, shape, steps, error):
+    """Least squares from 50 poses: a curved detector of fan angle 2, and three dimensions."""
+    volume = Grid(shape)
+    turn = (lambda: G.curved_circle_trajectory(50, volume, 360, 1600.0, 16.0, 2.0)) if kind == "curved" else (lambda: G.circle_trajectory(50, volume, 360, 1600.0, 16.0))
+    a = OP.SiddonsMethod(volume, turn(), spark).persisted()
+    x = PH.shepp_logan(spark, shape).saved()
+    got = S.CGLS(a, a.apply(x).saved()).solve(steps)
+    a.unpersist()
+    assert ((got.to_array() - x.to_array()) ** 2).mean() < error
+
+
+def test_large_iterates_are_saved_and_measured_in_one_job(spark, problem, monkeypatch):
+    from tomolith.plans import vector as V
+
+    _, a, x, b = problem
+    monkeypatch.setattr(V, "LOCAL_ROWS", 0)
+    far = Vector(b.df, b.desc)
+    assert close(S.CGLS(a, far, tol=1e-20).solve(4), x, 1e-7) and close(S.CGNE(a, far).solve(4), x, 1e-7)

@@ -82,3 +82,21 @@ def test_complex(spark):
 def test_hardware_division_and_logarithm(spark):
     row = spark.range(1).select(C.div0(F.lit(1.0), F.lit(0.0)), C.div0(F.lit(-1.0), F.lit(0.0)), C.div0(F.lit(0.0), F.lit(0.0)), C.ln0(F.lit(0.0)), C.ln0(F.lit(-1.0))).first()
     assert row[0] == np.inf and row[1] == -np.inf and np.isnan(row[2]) and row[3] == -np.inf and np.isnan(row[4])
+
+
+def test_small_vectors_are_held_by_the_driver(spark, monkeypatch):
+    from tomolith.plans import vector as V
+
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=12), rng.normal(size=12) + 1j * rng.normal(size=12)
+    x, z = Vector.from_array(spark, a), Vector.from_array(spark, b)
+    here = [lincomb(2.0, x, -1.0, x * x), x - 3.0, -x * 0.5, x.map(lambda v: v * 2).saved()]
+    far = [lincomb(2.0, Vector(x.df, x.desc), -1.0, Vector(x.df, x.desc) * Vector(x.df, x.desc)), Vector(x.df, x.desc) - 3.0, -Vector(x.df, x.desc) * 0.5, x.map(lambda v: v * 2)]
+    for p, q in zip(here, far, strict=True):
+        assert np.allclose(p.to_array(), q.to_array()) and np.isclose(p.squared_l2(), q.squared_l2()) and np.isclose(p.sum(), q.sum())
+    assert all(p.local is not None for p in (here[0], here[1], here[3])) and far[0].local is None
+    w = Vector(z.df, z.desc)
+    assert np.isclose(z.dot(z * 2j), w.dot(w * 2j)) and np.isclose(z.squared_l2(), w.squared_l2()) and np.allclose(w.saved().local, b)
+    monkeypatch.setattr(V, "LOCAL_ROWS", 4)
+    y, n = far[1].saved_norm()
+    assert y.local is None and np.isclose(n, ((a - 3) ** 2).sum()) and np.allclose(y.to_array().ravel(), a - 3)

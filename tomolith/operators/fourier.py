@@ -126,7 +126,7 @@ class ShearletTransform(LinearOperator):
             kinds = self._kinds()
             if kinds:
                 layers = spark.createDataFrame(kinds, "layer int, kind string, j int, k int")
-                rows = base.crossJoin(F.broadcast(layers))  # a table of shapes, 2**(scales + 2) rows
+                rows = base.crossJoin(small(layers, len(kinds)))  # a table of shapes, 2**(scales + 2) rows
                 flat = F.abs("h") <= F.abs("w")
                 a, b = F.when(flat, F.col("w")).otherwise(F.col("h")), F.when(flat, F.col("h")).otherwise(F.col("w"))
                 four, two = F.pow(F.lit(4.0), -F.col("j")), F.pow(F.lit(2.0), -F.col("j"))

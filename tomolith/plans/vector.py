@@ -375,7 +375,7 @@ class Vector:
     def view_as(self, desc: Grid) -> Vector:
         if desc.size != self.size:
             raise ValueError("sizes differ")
-        return Vector(self.df, desc)
+        return Vector(self.df, desc, self.local)
 
     def fft_shift(self, inverse: bool = False) -> Vector:
         """Circular shift by half of each dimension (rounded down), or back."""
