@@ -144,8 +144,10 @@ def test_parts_lose_no_link_at_80_percent():
             both = len(np.intersect1d(x, y))
             if 100 * both < 80 * (len(x) + len(y) - both):
                 continue
-            owner, key = op10_jaccard.parts(np.append(x, y), np.array([0, len(x), len(x) + len(y)]), 80, 100)
-            assert set(key[owner == 0]) & set(key[owner == 1]), n
+            both_ = np.append(x, y)
+            for common in (None, both_ % 3 < 2, both_ % 7 > 0):
+                owner, key = op10_jaccard.parts(both_, np.array([0, len(x), len(x) + len(y)]), 80, 100, common)
+                assert set(key[owner == 0]) & set(key[owner == 1]), n
 
 
 def test_connected(spark):

@@ -5,9 +5,9 @@ The query's contract is 4 words and 85 %; callers may give others.
 1. Documents with equal shingle sets are one class.
 2. Routing (exact, no link is lost): shingles fall into m hashed parts. Two linked sets
    differ in at most d shingles, so of m = d + 1 + s parts they agree on s + 1 whole ones or
-   more; classes that agree on a part meet. The s smallest parts of a set are not used: they
-   are the ones that unlike texts with a common line may agree on. m, d and s follow the size
-   of the sets, and each class takes part at two neighbouring size levels so that all
+   more; classes that agree on a part meet. The s parts of a set that say least are not used:
+   they are the ones that unlike texts with a common line may agree on, having no shingle but
+   such as many sets have (``_common``) or few at all. m, d and s follow the size of the sets, and each class takes part at two neighbouring size levels so that all
    compatible sizes meet. Shared passages bring few together: a part agrees only if nothing
    else is in it.
 3. Classes that meet, directly or through others, form a group. Each group becomes a
@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ NUM, DEN = 85, 100
 #: Bytes of shingle hashes in one tree.
 BLOCK_BYTES = 16 << 20
 FANOUT = 8
+#: Classes that have a shingle before it counts as common.
+COMMON = 8
 _NONE = np.iinfo(np.int64).max
 
 
@@ -89,8 +92,9 @@ def levels(num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.n
     return e, d, (d + 2) // 5
 
 
-def parts(h: np.ndarray, off: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed parts of every set as (number of the set, hash of scheme, part and content)."""
+def parts(h: np.ndarray, off: np.ndarray, num: int = NUM, den: int = DEN, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed parts of every set as (number of the set, hash of scheme, part and content); ``common`` marks shingles of many sets."""
+    rare = np.ones(len(h), bool) if common is None else ~common
     edge, most, spare = levels(num, den)
     n = np.diff(off)
     level = np.searchsorted(edge, n, "right") - 1
@@ -107,12 +111,13 @@ def parts(h: np.ndarray, off: np.ndarray, num: int = NUM, den: int = DEN) -> tup
         total = np.zeros(int(m.sum()), np.uint64)
         np.add.at(total, at.astype(np.int64), K.mix(x))
         owner = np.repeat(np.arange(len(use)), m)
-        count = np.bincount(at.astype(np.int64), minlength=len(total))
-        # Linked sets agree on one part more than are spare, and what they agree on has one size in both:
-        # the smallest parts may go in each, as long as all of a size go and no more than are spare.
-        order = np.sort(owner << 40 | count)
+        # Linked sets agree on one part more than are spare, and what they agree on scores the same in both: the parts
+        # that say least (fewest rare shingles, then smallest) may go in each, as long as all of a score go and no more than are spare.
+        many, all_ = (np.bincount(at.astype(np.int64), x, len(total)).astype(np.int64) for x in (rare[rows], None))
+        score = np.minimum(many, (1 << 19) - 1) << 20 | np.minimum(all_, (1 << 20) - 1)
+        order = np.sort(owner << 40 | score)
         least = order[begin + spare[scheme[use]]] & ((1 << 40) - 1) if len(use) else order
-        keep = count >= least[owner]
+        keep = score >= least[owner]
         place = np.arange(len(total)) - begin[owner] + scheme[use][owner] * (1 << 34)
         sets.append(use[owner[keep]])
         out.append(K.mix(total[keep] + K.mix(place[keep].astype(np.uint64))))
@@ -220,15 +225,44 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _classes(read: DataFrame, words: int) -> DataFrame:
+    """(id, th, cid, n) of every document; rows with n = -1 count shingles (id) that several classes of a batch have (th)."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sets, known = [], np.zeros(0, np.int64)
             for c in K.chunks(batch.column(1)):
                 h, off = shingles(c, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(c)), batch.column(2).slice(c.first, len(c)), pa.array(class_ids(h, off)), pa.array(np.diff(off))], ["id", "th", "cid", "n"])
+                cid, n = class_ids(h, off), np.diff(off)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(c)), batch.column(2).slice(c.first, len(c)), pa.array(cid), pa.array(n)], ["id", "th", "cid", "n"])
+                pick = _unlike(cid, known)
+                known = np.append(known, cid[pick])
+                sets.append(h[K.slices_of(off[pick], n[pick])])
+                if sum(map(len, sets)) >= 4 * C.BATCH:
+                    yield counted(sets)
+                    sets = []
+            yield counted(sets)
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+        key, n = key[n > 1].view(np.int64), n[n > 1]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(np.zeros(len(n), np.int64)), pa.array(np.full(len(n), -1))], ["id", "th", "cid", "n"])
 
     return read.mapInArrow(work, "id long, th long, cid long, n long")
 
 
+def _unlike(cid: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """One row of each class that is not known, the class of no words left out."""
+    _, pick = np.unique(cid, return_index=True)
+    return pick[(cid[pick] != 0) & ~np.isin(cid[pick], known)]
+
+
+def _common(rows: DataFrame) -> Broadcast:
+    """A bitmap of the shingles that ``COMMON`` classes have or more, as far as batches saw them repeated. What it leaves out or adds costs work, never a link."""
+    keys = rows.where("n < 0").groupBy(F.col("id").alias("key")).agg(F.sum("th").alias("c")).where(F.col("c") >= COMMON).select("key")
+    keys = saved(keys)
+    return rows.sparkSession.sparkContext.broadcast(A.bitmap_of(keys, keys.count()))
+
+
 def _met(key: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of equal keys one row is enough: (rows that stay, and the pairs (class, class of the row that stays) of the others)."""
     order = np.argsort(key, kind="stable")
@@ -239,7 +273,7 @@ def _met(key: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return lead, pair[0], pair[1]
 
 
-def _meetings(read: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _meetings(read: DataFrame, words: int, num: int, den: int, common: Broadcast) -> DataFrame:
     """Links between classes that agree on a part, as a forest for ``components.contracted``.
 
     A task sends one row for each part, however many of its classes agree on it, and the links between these.
@@ -247,6 +281,7 @@ def _meetings(read: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        bits = np.frombuffer(common.value, np.uint8)
 
         def done() -> pa.RecordBatch:
             key, cid = np.concatenate(held, axis=1)
@@ -261,11 +296,11 @@ def _meetings(read: DataFrame, words: int, num: int, den: int) -> DataFrame:
             for c in K.chunks(batch.column(1)):
                 h, off = shingles(c, words)
                 cid = class_ids(h, off)
-                _, pick = np.unique(cid, return_index=True)
-                pick = pick[(cid[pick] != 0) & ~np.isin(cid[pick], seen)]  # once per class and batch
+                pick = _unlike(cid, seen)  # once per class and batch
                 seen = np.append(seen, cid[pick])
                 n = np.diff(off)[pick]
-                owner, key = parts(h[K.slices_of(off[pick], n)], np.append(0, np.cumsum(n)), num, den)
+                h = h[K.slices_of(off[pick], n)]
+                owner, key = parts(h, np.append(0, np.cumsum(n)), num, den, A.in_bitmap(bits, h))
                 held.append(np.stack([key.view(np.int64), cid[pick][owner]]))
                 size += len(key)
                 if size >= C.BATCH:
@@ -388,9 +423,10 @@ def _links(read: DataFrame, members: DataFrame, words: int, num: int, den: int)
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per document: id, th (xxhash64 of the text), cid (class), label (least class of the component), n_shingles, component_id; shingles of ``words``, linked from num/den."""
     read = _shingled(docs, id_col, text_col)
-    rows = saved(_classes(read, words))
+    every = saved(_classes(read, words))
+    rows = every.where("n >= 0")
     least = rows.where("n > 0").groupBy("cid").agg(F.min(F.coalesce("id", F.lit(_NONE))).alias("rep"), F.max("n").alias("n"))
-    groups = C.contracted(_meetings(read, words, num, den)).select(F.col("node").alias("cid"), F.col("label").alias("group"))
+    groups = C.contracted(_meetings(read, words, num, den, _common(every))).select(F.col("node").alias("cid"), F.col("label").alias("group"))
     members = saved(groups.join(least, "cid"))
     labels = connected(_links(read, members, words, num, den)).withColumnRenamed("node", "cid")
     whole = labels.join(least, "cid").groupBy("label").agg(F.min("rep").alias("component"))
