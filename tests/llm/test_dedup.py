@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tomolith.llm import anchors as A
+from tomolith.llm import kernels as K
 from tomolith.llm import components, op1_lines, op3_quality, op4_substrings, op9_suffix_array, op10_jaccard
 from tomolith.llm import suffixes as S
 
@@ -72,6 +73,23 @@ def test_substrings(spark, docs, monkeypatch, block):
     assert sum(r[2] for r in got) > 0
 
 
+def test_long_texts_in_pieces(spark, docs, monkeypatch):
+    """All three searches, with documents cut into pieces far smaller than they are."""
+    rows, df = docs
+    long = " ".join(words(400)) + "  " + " ".join(words(3)) + " " * 700 + "x" * 900 + " y z " * 150
+    rows = [*rows, (300, long), (301, "start " + long[500:] + " end"), (302, long[:1500] + long[300:1400])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for piece in (350, 1000):
+        monkeypatch.setattr(K, "PIECE_BYTES", piece)
+        monkeypatch.setattr(K, "CHUNK_BYTES", 300)
+        hashes = {r.text or "": r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+        got = rows_of(op4_substrings.remove_repeats(df).select("id", "n_words", "n_removed", F.sha2("kept", 256)))
+        assert got == brute.substrings(rows, hashes=hashes)
+        got = rows_of(op9_suffix_array.remove_repeats(df).select("id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)))
+        assert got == brute.repeated_bytes(rows)
+        assert rows_of(op10_jaccard.near_duplicates(df).select("id", "n_shingles", "component_id")) == brute.components(rows)
+
+
 @pytest.mark.parametrize("block", [1 << 20, 3000])
 def test_bytes(spark, docs, monkeypatch, block):
     rows, df = docs

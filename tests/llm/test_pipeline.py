@@ -48,6 +48,24 @@ def test_stages_keep_the_columns(spark, sf_dir):
     assert sorted((r.doc_id for r in once.collect()), key=str) == [1, 2, None]
 
 
+def test_stages_of_an_empty_table_and_of_odd_rows(spark, sf_dir):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _n_removed long, k long, _kept string, th long"
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], kind), sf_dir).collect() == []
+    long = " ".join(f"w{i % 9000} the" for i in range(40_000))
+    rows = [(1, long, "en", None, 1), (None, None, None, None, None), (2, "", "en", "s", 0), (2, "other text of the same id", "en", "s", 3), (3, long + " end", None, "s", 1)]
+    docs = spark.createDataFrame([(*r, 7, 8, "z", 9) for r in rows], kind)
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        sizes.append(sorted((r.doc_id or 0, len(r.text or "")) for r in out.collect()))
+    whole = sorted((r[0] or 0, len(r[1] or "")) for r in rows)
+    assert sizes[1] == whole and sizes[3] == whole and sizes[2] == [x for x in whole if x[0] != 3] and {d for d, _ in sizes[0]} <= {1, 3}
+    packed = corpus_pipeline.packing(spark, docs, sf_dir).collect()
+    assert sum(r.n_words for r in packed) == sum(len(brute.WORDS.findall(r[1] or "")) for r in rows)
+
+
 def test_line_spread_is_counted_whole(spark, sf_dir):
     """A block of two lines ends texts of ten sites; copies and near copies of one text stand on twelve; seven texts of seven sites share a line."""
     text = lambda k: [" ".join(f"{k}x{i}y{j}" for j in range(8)) for i in range(6)]

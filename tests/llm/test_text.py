@@ -298,10 +298,15 @@ def test_chat(spark, piece):
 
 
 def test_chat_ids_do_not_depend_on_pieces(spark):
-    rows = [(1, t, "user" if t % 2 else "assistant", text(8)) for t in range(12)]
+    """Cut anywhere between turns, after assistant turns too, with multi-byte texts, white space and control strings at the borders."""
+    said = [text(8), "é🙂漢字 ", " 漢", "", "\n\n", "a" * 90, "🙂" * 40, "</s>", " x", "\\"]
+    rows = [(c, t, "user" if (t + c) % 2 else "assistant", said[(t * (c + 1)) % len(said)]) for c in range(4) for t in range(24)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    ids = [[i for r in op7_chat.formatted(df, piece_chars=n).orderBy("piece").collect() for i in r.ids] for n in (1 << 20, 60)]
-    assert ids[0] == ids[1]
+    ids = []
+    for n in (1 << 20, 200, 60, 1):
+        pieces = op7_chat.formatted(df, piece_chars=n).orderBy("conv_id", "piece").collect()
+        ids.append([[i for r in pieces if r.conv_id == c for i in r.ids] for c in range(4)])
+    assert ids[0] == ids[1] == ids[2] == ids[3]
 
 
 def test_url_parts_and_rules(spark):

@@ -24,7 +24,7 @@ so the traffic follows the distinct text, not the number of copies.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,15 @@ class Windows:
     size: int
     gram: int
     by_word: bool
+    chunk: int = field(default_factory=lambda: K.CHUNK_BYTES)
+    piece: int = field(default_factory=lambda: K.PIECE_BYTES)
+
+    def chunks(self, col: pa.Array) -> Iterator[K.Chunk]:
+        return K.chunks(col, self.chunk)
+
+    def pieces(self, c: K.Chunk) -> Iterator[tuple[K.Chunk, int]]:
+        """The chunk, or a long document in pieces that hold all windows; with the symbols before each."""
+        return (K.cut_words if self.by_word else K.cut_bytes)(c, self.size - 1, self.piece)
 
     @property
     def symbol_bytes(self) -> int:
@@ -145,7 +154,7 @@ class Routes:
 def routes(prep: DataFrame, spec: Windows) -> Routes:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in K.chunks(batch.column(0)):
+            for c, _ in (p for c in spec.chunks(batch.column(0)) for p in spec.pieces(c)):
                 r = runs(spec, c)
                 stretch = r.rolling.slices(r.start, r.start + r.count + spec.size - 1)
                 order = np.lexsort((stretch, r.key))
@@ -177,6 +186,8 @@ def merged(hash_: np.ndarray, id_: np.ndarray, th: np.ndarray, start: np.ndarray
 
 
 def contexts(prep: DataFrame, spec: Windows, by: Routes) -> DataFrame:
+    merge = MERGE_BYTES
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot_bits = (np.frombuffer(x.value, np.uint8) for x in (by.repeated, by.hot))
         for batch in batches:
@@ -184,7 +195,7 @@ def contexts(prep: DataFrame, spec: Windows, by: Routes) -> DataFrame:
             ths = batch.column(1).to_numpy(zero_copy_only=False)
             found: list[list[np.ndarray]] = []
             size = 0
-            for c in K.chunks(batch.column(2)):
+            for c, before in (p for c in spec.chunks(batch.column(2)) for p in spec.pieces(c)):
                 r = runs(spec, c)
                 r = r.keep(in_bitmap(bits, r.key))
                 size += len(c.data)
@@ -198,11 +209,11 @@ def contexts(prep: DataFrame, spec: Windows, by: Routes) -> DataFrame:
                     anchor = np.concatenate([r.anchor, np.full(len(alone), _ALONE)])
                     hash_ = r.rolling.slices(start, start + count + spec.size - 1)
                     key = np.concatenate([r.key, K.mix(hash_[len(r.start) :])])
-                    id_, th, place = ids[c.first + doc], ths[c.first + doc], start - r.at[doc]
+                    id_, th, place = ids[c.first + doc], ths[c.first + doc], start - r.at[doc] + before
                     pick, n = merged(hash_, id_, th, place, np.ones(len(hash_), np.int64))
                     length = np.where(anchor[pick] == _ALONE, 0, count[pick] + spec.size - 1)
                     found.append([key[pick], hash_[pick], id_[pick], th[pick], place[pick], count[pick], n, anchor[pick], length, r.symbols[K.slices_of(start[pick], length)]])
-                if size >= MERGE_BYTES:
+                if size >= merge:
                     yield from stretches(found)
                     found, size = [], 0
             yield from stretches(found)
@@ -271,6 +282,7 @@ def solve(ctx: DataFrame, spec: Windows, solver: Callable[[Block], np.ndarray],
 
     ``alone`` gives it for the earliest window of each class of equal ones, from their numbers.
     """
+    block = BLOCK_BYTES
 
     def rows(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         t = _merge(t)
@@ -295,7 +307,7 @@ def solve(ctx: DataFrame, spec: Windows, solver: Callable[[Block], np.ndarray],
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, limit = 0, BLOCK_BYTES
+        size, limit = 0, block
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -310,13 +322,13 @@ def solve(ctx: DataFrame, spec: Windows, solver: Callable[[Block], np.ndarray],
             _, off = K.text_buffers(t.column(7))
             begin = 0
             for e in ends:
-                if off[e] - off[begin] >= BLOCK_BYTES or e == ends[-1]:
+                if off[e] - off[begin] >= block or e == ends[-1]:
                     yield from rows(t.slice(begin, e - begin))
                     begin = e
             rest = t.slice(begin)
             held = [_merge(rest) if not begin else rest]  # one huge group: equal stretches become one row
             size = held[0].nbytes
-            limit = max(BLOCK_BYTES, 2 * size)
+            limit = max(block, 2 * size)
         if held:
             yield from rows(_table(held))
 
@@ -324,36 +336,48 @@ def solve(ctx: DataFrame, spec: Windows, solver: Callable[[Block], np.ndarray],
     return ctx.repartition(int(n), "key").sortWithinPartitions("key").mapInArrow(work, FLAGS)
 
 
-def apply(prep: DataFrame, spec: Windows, by: Routes, flags: DataFrame, out: str, rewrite: Callable[[Runs, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``rewrite(runs of a chunk, covered symbols)`` gives the columns ``out`` after ``id``."""
+def apply(prep: DataFrame, spec: Windows, by: Routes, flags: DataFrame, out: str, rewrite: Callable[[K.Chunk, np.ndarray, np.ndarray], Iterator[pa.Array]]) -> DataFrame:
+    """``rewrite(chunk, symbols before each document, covered symbols)`` gives the columns ``out`` after ``id``."""
     grouped = flags.groupBy("id", "th").agg(F.collect_list(F.struct("start", "windows", "flags")).alias("_flags"))
     joined = prep.join(grouped, prep["_id"].eqNullSafe(grouped["id"]) & (prep["_th"] == grouped["th"]), "left").select("_id", "_text", "_flags")
 
+    def covered(r: Runs, start: np.ndarray, count: np.ndarray, bit: np.ndarray, source: np.ndarray) -> np.ndarray:
+        """Symbols that a window covers which is flagged or, by default, has a repeated anchor; ``start`` counts in the piece."""
+        default = np.repeat(True, int(r.count.sum()))
+        begin = np.append(0, np.cumsum(r.count))
+        run = np.searchsorted(r.start, start, "right") - 1
+        default[K.slices_of(begin[run] + start - r.start[run], count)] = bit[K.slices_of(source, count)] == 0
+        window = K.slices_of(r.start, r.count)[default]
+        step = np.zeros(len(r.symbols) + 1, np.int32)
+        step += np.bincount(window, minlength=len(step)).astype(np.int32)
+        step -= np.bincount(window + spec.size, minlength=len(step)).astype(np.int32)
+        return np.cumsum(step)[:-1] > 0
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(by.repeated.value, np.uint8)
         for batch in batches:
             lists = batch.column(2)
-            for c in K.chunks(batch.column(1)):
-                r = runs(spec, c)
-                r = r.keep(in_bitmap(bits, r.key))
-                default = np.repeat(True, int(r.count.sum()))
-                begin = np.append(0, np.cumsum(r.count))
+            for c in spec.chunks(batch.column(1)):
                 part = lists.slice(c.first, len(c))
                 size = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 flat = part.flatten()
-                start = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(r.at[:-1], size)
-                run = np.searchsorted(r.start, start, "right") - 1
                 data, off = K.text_buffers(flat.field(2))
-                bit = np.unpackbits(data[off[0] : off[-1]], bitorder="little") if len(start) else np.zeros(0, np.uint8)
-                count = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                source = K.slices_of((off[:-1] - off[0]) * 8, count)
-                default[K.slices_of(begin[run] + start - r.start[run], count)] = bit[source] == 0
-                window = K.slices_of(r.start, r.count)[default]
-                step = np.zeros(len(r.symbols) + 1, np.int32)
-                step[: len(r.symbols)] += np.bincount(window, minlength=len(r.symbols)).astype(np.int32)[: len(r.symbols)] if len(r.symbols) else 0
-                step -= np.bincount(window + spec.size, minlength=len(r.symbols) + 1).astype(np.int32)
-                covered = np.cumsum(step)[: len(r.symbols)] > 0
-                cols = rewrite(r, covered)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(c)), *cols], ["id", *[x.split()[0] for x in out.split(", ")]])
+                bit = np.unpackbits(data[off[0] : off[-1]], bitorder="little") if len(flat) else np.zeros(0, np.uint8)
+                source = (off[:-1] - off[0]) * 8
+                start, count = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                found = []
+                for p, before in spec.pieces(c):
+                    r = runs(spec, p)
+                    r = r.keep(in_bitmap(bits, r.key))
+                    at = start + np.repeat(r.at[:-1], size) - before
+                    mine = np.flatnonzero((at >= 0) & (at < len(r.symbols) - spec.size + 1))
+                    found.append((before, r.at, covered(r, at[mine], count[mine], bit, source[mine])))
+                ends, gone = found[0][1:]
+                if len(found) > 1:  # one long document
+                    total = max(before + len(x) for before, _, x in found)
+                    ends, gone = np.array([0, total]), np.zeros(total, bool)
+                    for before, _, x in found:
+                        gone[before : before + len(x)] |= x
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(c)), *rewrite(c, ends, gone)], ["id", *[x.split()[0] for x in out.split(", ")]])
 
     return joined.mapInArrow(work, f"id long, {out}")

@@ -71,7 +71,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield rows(top, top, PARENT)
 
 
-def _leaf_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaf_round(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """By child: EDGE and PARENT rows in, LEAF, EDGE and PARENT rows out."""
     held: list[np.ndarray] = []
 
@@ -90,7 +90,7 @@ def _leaf_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.unique(root[on])
         yield rows(top, top, PARENT)
 
-    size, limit = 0, BATCH
+    size, limit = 0, most
     for batch in batches:  # sorted by key
         t = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
         held.append(t)
@@ -100,7 +100,7 @@ def _leaf_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = int(np.searchsorted(t[0], t[0, -1], "left"))
             yield from done(t[:, :cut])
             held, size = [t[:, cut:]], t.shape[1] - cut
-            limit = max(BATCH, 2 * size)
+            limit = max(most, 2 * size)
     if held:
         yield from done(np.concatenate(held, axis=1))
 
@@ -123,11 +123,11 @@ def _star_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contracted(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (columns of FOREST); label is the least node reached, roots included."""
     n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now, levels = saved(links), []
+    most, now, levels = BATCH, saved(links), []
     for _ in range(LEAF_ROUNDS):
         if now.where(F.col("kind") == EDGE).isEmpty():
             break
-        now = saved(now.where(F.col("kind") != LEAF).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_leaf_round, FOREST))
+        now = saved(now.where(F.col("kind") != LEAF).repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b: _leaf_round(b, most), FOREST))
         levels.append(now.where(F.col("kind") == LEAF).select(F.col("key").alias("node"), F.col("val").alias("up")))
     else:
         now = now.where(F.col("kind") == EDGE)
@@ -153,13 +153,13 @@ def contracted(links: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
         held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]))
         size += batch.num_rows
-        if size >= BATCH:
+        if size >= most:
             yield from forest(*np.concatenate(held, axis=1))
             held, size = [], 0
     if held:
@@ -168,4 +168,5 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of a link between two different nodes; label is the least node reached."""
-    return contracted(links.select(F.col(a).cast("long"), F.col(b).cast("long")).where(F.col(a) != F.col(b)).mapInArrow(_stars, FOREST))
+    most = BATCH
+    return contracted(links.select(F.col(a).cast("long"), F.col(b).cast("long")).where(F.col(a) != F.col(b)).mapInArrow(lambda b: _stars(b, most), FOREST))

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once, so that the arrays stay in the CPU's cache (a longer document is a chunk of its own).
 CHUNK_BYTES = 256 << 10
+#: Bytes of one document handled at once by kernels that can cut it, at some 100 bytes of arrays for each.
+PIECE_BYTES = 1 << 20
 
 # The white space of the word pattern [^\x20\x09-\x0D]+.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -144,6 +146,53 @@ def words(c: Chunk) -> Words:
     return Words(start, end, np.repeat(np.arange(len(c)), np.diff(at)), at)
 
 
+def cut_bytes(c: Chunk, overlap: int, piece: int = PIECE_BYTES) -> Iterator[tuple[Chunk, int]]:
+    """A chunk, or the pieces of a long document; each piece goes on for ``overlap`` bytes into the next. With the bytes before it."""
+    n = len(c.data)
+    if len(c) != 1 or n <= piece:
+        yield c, 0
+        return
+    for a in range(0, max(1, n - overlap), piece):
+        data = c.data[a : a + piece + overlap]
+        yield Chunk(c.first, data, np.array([0, len(data)])), a
+
+
+def cut_words(c: Chunk, overlap: int, piece: int = PIECE_BYTES) -> Iterator[tuple[Chunk, int]]:
+    """As ``cut_bytes``, cut between words: ``overlap`` words, and the words before."""
+    n = len(c.data)
+    if len(c) != 1 or n <= piece:
+        yield c, 0
+        return
+    a = before = 0
+    while a < n:
+        end = _gap(c.data, a + piece)
+        more, size = end, 64 * overlap + 64
+        while more < n:  # far enough for the overlap
+            more = _gap(c.data, end + size)
+            if len(words(Chunk(0, c.data[end:more], np.array([0, more - end]))).start) > overlap:
+                break
+            size *= 2
+        w = words(Chunk(0, c.data[end:more], np.array([0, more - end])))
+        stop = end + int(w.end[overlap - 1]) if len(w.end) > overlap > 0 else (more if overlap else end)
+        data = c.data[a:stop]
+        yield Chunk(c.first, data, np.array([0, len(data)])), before
+        if more >= n and len(w.start) <= overlap:
+            return  # what is left are fewer words than a window needs, and they are in this piece
+        before += len(words(Chunk(0, c.data[a:end], np.array([0, end - a]))).start)
+        a = end
+
+
+def _gap(data: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on that is white space, or the end."""
+    n, step = len(data), 1 << 12
+    while at < n:
+        found = np.flatnonzero(~_NON_WHITE[data[at : at + step]])
+        if len(found):
+            return at + int(found[0])
+        at += step
+    return n
+
+
 def word_hashes(c: Chunk, w: Words, lower: bool = False) -> np.ndarray:
     data = _LOWER[c.data] if lower else c.data
     return Rolling(data).slices(w.start, w.end)

@@ -24,6 +24,7 @@ Words: maximal runs of characters other than space and \\t..\\r, A-Z lower-cased
 with fewer words than a shingle is the whole sequence; no words or null text: empty, linked
 with nothing. Rows sharing a doc_id are separate rows; a null id joins as the largest and
 is reported as null only if its whole component has no other. Empty table: empty result.
+Texts of any length are read whole; ties play no part. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,8 +53,18 @@ COMMON = 8
 _NONE = np.iinfo(np.int64).max
 
 
-def shingles(c: K.Chunk, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingles(c: K.Chunk, size: int = WORDS, piece: int = K.PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document, sorted, and the offsets of the documents."""
+    pieces = [p for p, _ in K.cut_words(c, size - 1, piece)]
+    if len(pieces) > 1:  # one long document; a piece with too few words for a shingle has none of its own
+        pieces = [p for p in pieces if len(K.words(p).start) >= size]
+    if len(pieces) <= 1:
+        return _shingles(c, size)
+    h = np.unique(np.concatenate([_shingles(p, size)[0] for p in pieces]))
+    return h, np.array([0, len(h)])
+
+
+def _shingles(c: K.Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     w = K.words(c)
     rolling = K.Rolling(K.word_hashes(c, w, lower=True))
     n = np.diff(w.at)
@@ -227,11 +238,13 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _classes(read: DataFrame, words: int) -> DataFrame:
     """(id, th, cid, n) of every document; rows with n = -1 count shingles (id) that several classes of a batch have (th)."""
 
+    chunk, piece = K.CHUNK_BYTES, K.PIECE_BYTES
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, known = [], np.zeros(0, np.int64)
-            for c in K.chunks(batch.column(1)):
-                h, off = shingles(c, words)
+            for c in K.chunks(batch.column(1), chunk):
+                h, off = shingles(c, words, piece)
                 cid, n = class_ids(h, off), np.diff(off)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(c)), batch.column(2).slice(c.first, len(c)), pa.array(cid), pa.array(n)], ["id", "th", "cid", "n"])
                 pick = _unlike(cid, known)
@@ -279,6 +292,8 @@ def _meetings(read: DataFrame, words: int, num: int, den: int, common: Broadcast
     A task sends one row for each part, however many of its classes agree on it, and the links between these.
     """
 
+    chunk, piece, most = K.CHUNK_BYTES, K.PIECE_BYTES, C.BATCH
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         bits = np.frombuffer(common.value, np.uint8)
@@ -293,8 +308,8 @@ def _meetings(read: DataFrame, words: int, num: int, den: int, common: Broadcast
 
         for batch in batches:
             seen = np.zeros(0, np.int64)
-            for c in K.chunks(batch.column(1)):
-                h, off = shingles(c, words)
+            for c in K.chunks(batch.column(1), chunk):
+                h, off = shingles(c, words, piece)
                 cid = class_ids(h, off)
                 pick = _unlike(cid, seen)  # once per class and batch
                 seen = np.append(seen, cid[pick])
@@ -303,7 +318,7 @@ def _meetings(read: DataFrame, words: int, num: int, den: int, common: Broadcast
                 owner, key = parts(h, np.append(0, np.cumsum(n)), num, den, A.in_bitmap(bits, h))
                 held.append(np.stack([key.view(np.int64), cid[pick][owner]]))
                 size += len(key)
-                if size >= C.BATCH:
+                if size >= most:
                     yield done()
                     held, size = [], 0
         if held:
@@ -324,7 +339,7 @@ def _meetings(read: DataFrame, words: int, num: int, den: int, common: Broadcast
             pair = np.stack([cid, np.repeat(lead, np.diff(np.append(head, len(key))))])
             links.append(pair[:, pair[0] != pair[1]])
             size += links[-1].shape[1]
-            if size >= C.BATCH:
+            if size >= most:
                 yield from C.forest(*np.concatenate(links, axis=1))
                 links, size = [], 0
         if size:
@@ -340,14 +355,15 @@ def _bodies(read: DataFrame, units: DataFrame, words: int) -> DataFrame:
     reps = units.select(F.xxhash64("rep").alias("key"))
     bitmap = A.bitmap_of(reps, reps.count())
     shared = read.sparkSession.sparkContext.broadcast(bitmap)
+    chunk, piece = K.CHUNK_BYTES, K.PIECE_BYTES
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             key = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             part = batch.filter(pa.array(A.in_bitmap(bits, key)))
-            for c in K.chunks(part.column(1)):
-                h, off = shingles(c, words)
+            for c in K.chunks(part.column(1), chunk):
+                h, off = shingles(c, words, piece)
                 ids = part.column(0).slice(c.first, len(c))
                 body = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(h.tobytes())])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(class_ids(h, off)), body], ["rep", "cid", "body"])
@@ -431,7 +447,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected(_links(read, members, words, num, den)).withColumnRenamed("node", "cid")
     whole = labels.join(least, "cid").groupBy("label").agg(F.min("rep").alias("component"))
     linked = labels.join(whole, "label").select("cid", "component", "label")
-    final = least.join(linked, "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"), F.coalesce("label", "cid").alias("label"))
+    final = saved(least.join(linked, "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"), F.coalesce("label", "cid").alias("label")))
     out = rows.join(final, "cid", "left").withColumn("component", F.when(F.col("component") < _NONE, F.col("component")))
     return out.select("id", "th", "cid", "label", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
 

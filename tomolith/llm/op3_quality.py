@@ -4,8 +4,9 @@ Every metric is a built-in expression over the whole text; a rule compares two i
 sums, so SQL and Spark agree to the last row. No user functions, no shuffle.
 
 Defined results: null text: no words, so base_failed. Words of any length, texts of any
-length and any number of lines are counted whole. Repeated rows give repeated rows. An
-empty table gives an empty result. Only the id and text columns are read.
+length and any number of lines are counted whole. Repeated rows give repeated rows, ties play
+no part. An empty table gives an empty result. Other columns pass through, whatever their
+names; only columns named like the three results are replaced.
 """
 
 from __future__ import annotations
@@ -45,8 +46,11 @@ def _repeat_words(words: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
         return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + 3 - F.greatest(a["end"] - p, F.lit(0))).alias("n"), (p + 3).alias("end")), lambda a: a["n"])
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i")))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(N.let(F.sort_array(windows), counted))
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.struct(F.xxhash64(h[i], h[i + 1], h[i + 2]).alias("h"), i.alias("i")))
+
+    sorted_ = N.let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.sort_array(windows(h)))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(N.let(sorted_, counted))
 
 
 def metrics(text: Column) -> Column:
@@ -54,12 +58,13 @@ def metrics(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def of(words: Column) -> Column:
+        lines = N.let(N.worded_lines(text), lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("unlike")))
         out = {
             "n_words": F.size(words),
             "word_chars": F.length(N.without_white(text)),
             "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
-            "n_lines": F.size(N.worded_lines(text)),
-            "n_dup_lines": N.let(N.worded_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+            "n_lines": lines["all"],
+            "n_dup_lines": lines["all"] - lines["unlike"],
             "n_stop_words": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))),
             "n_repeat_words": _repeat_words(words),
         }

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors as A
+from . import kernels as K
 
 SIZE = 20
 GRAM = 8
@@ -92,16 +93,15 @@ def first_windows(b: A.Block) -> np.ndarray:
     return flags
 
 
-def _rewrite(r: A.Runs, covered: np.ndarray) -> Iterator[pa.Array]:
-    size = np.diff(r.at)
-    removed = np.diff(np.append(0, np.cumsum(covered))[r.at])
+def _rewrite(c: K.Chunk, at: np.ndarray, covered: np.ndarray) -> Iterator[pa.Array]:
+    removed = np.diff(np.append(0, np.cumsum(covered))[at])
     kept = []
-    for d in range(len(r.chunk)):
-        found = r.chunk.data[r.chunk.off[d] : r.chunk.off[d + 1]].tobytes().split()
+    for d in range(len(c)):
+        found = c.data[c.off[d] : c.off[d + 1]].tobytes().split()
         if removed[d]:
-            found = compress(found, ~covered[r.at[d] : r.at[d + 1]])
+            found = compress(found, ~covered[at[d] : at[d + 1]])
         kept.append(b" ".join(found))
-    return iter([pa.array(size.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())])
+    return iter([pa.array(np.diff(at).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

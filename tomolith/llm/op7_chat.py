@@ -10,8 +10,9 @@ by the longest turn. A token is under the loss mask if it lies inside the text o
 assistant turn: its span is found in the sorted turn spans by binary search.
 
 Rows are ordered by turn, then role and text (null turns first). Null text or role: empty.
-Rows with a null conversation id form one conversation. Repeated rows are repeated turns.
-An empty table gives an empty result.
+Rows with a null conversation id form one conversation. Repeated rows are repeated turns,
+ties in turn are ordered by role and text. A turn of any length is encoded whole. An empty
+table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

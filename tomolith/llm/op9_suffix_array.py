@@ -8,8 +8,9 @@ Sample suffixes are strings of eight-byte symbols; ``suffixes.suffix_array`` sor
 the starts between samples, are sorted by the few bytes up to the next sample and its
 rank, and neighbours in that order are compared over 200 bytes.
 
-Defined results: null text: no bytes. Texts under 200 bytes: nothing is removed. Rows with
-equal doc_id and text are two occurrences: both lose the repeat. Empty table: empty
+Defined results: null text: no bytes. Texts under 200 bytes: nothing is removed; texts of any
+length are read whole. Rows with equal doc_id and text are two occurrences: both lose the
+repeat, so that ties need no order. Empty table: empty
 result. Other columns are ignored, whatever their names.
 """
 
@@ -67,8 +68,7 @@ def single_windows(b: A.Block) -> np.ndarray:
     return ~repeated_windows(b.symbols, b.at, b.anchor, owner, start) & (b.n[owner] == 1)
 
 
-def _rewrite(r: A.Runs, covered: np.ndarray) -> Iterator[pa.Array]:
-    off = r.chunk.off
+def _rewrite(c: K.Chunk, off: np.ndarray, covered: np.ndarray) -> Iterator[pa.Array]:
     total = np.append(0, np.cumsum(covered))
     removed = np.diff(total[off])
     begin = covered.copy()
@@ -76,9 +76,9 @@ def _rewrite(r: A.Runs, covered: np.ndarray) -> Iterator[pa.Array]:
     inner = off[(off > 0) & (off < len(covered))]
     begin[inner] = covered[inner]
     spans = np.diff(np.append(0, np.cumsum(begin))[off])
-    left = r.chunk.data[~covered]
+    left = c.data[~covered]
     kept = np.append(0, np.cumsum(np.diff(off) - removed)).astype(np.int64)
-    body = pa.Array.from_buffers(pa.large_binary(), len(r.chunk), [None, pa.py_buffer(kept), pa.py_buffer(left.tobytes())]).cast(pa.binary())
+    body = pa.Array.from_buffers(pa.large_binary(), len(c), [None, pa.py_buffer(kept), pa.py_buffer(left.tobytes())]).cast(pa.binary())
     return iter([pa.array(np.diff(off)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), body])
 
 
