@@ -1,6 +1,7 @@
 """X-ray projectors: rays or voxels traced in NumPy batches on the executors into a relation (row, col, w).
 
-Tracing is a table function over an index range (``mapInPandas``), run once per operator; the
+Tracing is a table function over an index range (``mapInPandas``), run once per operator (its
+entries are persisted until ``unpersist``); the
 forward and the back projection are then the two directions of one relation, so they match.
 Rays are in voxel units; voxel k covers [k, k+1).
 """
@@ -169,7 +170,7 @@ class RayProjector(Relation):
                 out.append((mine[ray], col, w))
             return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-        super().__init__(_rows(detector.size, spark, trace), volume, detector)
+        super().__init__(_rows(detector.size, spark, trace).persist(), volume, detector)
 
 
 class BinaryMethod(RayProjector):
@@ -250,7 +251,7 @@ class VoxelProjector(Relation):
             empty = np.zeros(0)
             return np.concatenate([empty, *rows]), np.concatenate([empty, *cols]), np.concatenate([empty, *ws])
 
-        super().__init__(_rows(volume.size, spark, trace), volume, detector)
+        super().__init__(_rows(volume.size, spark, trace).persist(), volume, detector)
 
 
 class BlobVoxelProjector(VoxelProjector):
