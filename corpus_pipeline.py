@@ -1,7 +1,15 @@
 """The corpus pipeline: documents in, packed training bins out.
 
 Five stages, each over all that the one before kept; the stage functions take
-(spark, docs, sf_dir) and all but the last return the columns of ``documents``.
+(spark, docs, sf_dir) and all but the last return the columns of ``documents``, extra
+columns of their input being dropped.
+
+Defined results: a null or wordless text fails the quality rules; a stage called by itself
+keeps such documents (near duplicates: they are linked with nothing) except packing, which
+gives them no bin. Null ids, sources and languages are carried; of rows that share an id each
+is judged by its own text. Repeated rows count as copies: one of them stays. Texts of any
+length are processed whole. Ties among near copies go to the least id, then the least text
+hash, then the least source. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,7 +82,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every result but the last is written to the shared folder and read again."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/pipeline-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = f"{shared or '/tmp/checkpoints'}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
