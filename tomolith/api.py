@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+from tomolith.errors import BadCastError, Error, InvalidArgumentError, NotSettledError, OutOfRangeError
+from tomolith.functions.columns import binom, factorial, heaviside, lerp, sign
 from tomolith.functions.functionals import (
     ConstantFunctional, Constraint, EmissionLogLikelihood, Functional, FunctionalScalarMul, FunctionalSum, Huber, IndicatorBox, IndicatorNonNegativity, L0PseudoNorm, L1Norm, L2Reg, L2Squared,
     LeastSquares, LinearResidual, LInfNorm, PseudoHuber, Quadric, SeparableSum, TransmissionLogLikelihood, WeightedL1Norm, WeightedL2Squared, WeightedLeastSquares, ZeroFunctional,

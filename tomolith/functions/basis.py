@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
+from tomolith.errors import InvalidArgumentError
+
 
 def bessel_i(order: int, x: np.ndarray | float) -> np.ndarray:
     """Modified Bessel function of the first kind and integer order, by its power series."""
@@ -43,7 +45,7 @@ def blob_projected(s: np.ndarray, radius: float = 2.0, alpha: float = 10.83, ord
     elif order == 2:
         shape = root**2 * ((3 / z**2 + 1) * np.sinh(z) - 3 / z * np.cosh(z))
     else:
-        raise ValueError("blobs are projected for orders 0 to 2")
+        raise InvalidArgumentError("blobs are projected for orders 0 to 2")
     return np.where(inside, 2 * radius / alpha * shape / bessel_i(order, alpha), 0.0)
 
 
@@ -61,7 +63,7 @@ def blob_gradient_projected(s: np.ndarray, radius: float = 2.0, alpha: float = 1
     elif order == 2:
         shape = (np.cosh(z) * z - np.sinh(z)) / (alpha * radius)
     else:
-        raise ValueError("blob derivatives exist for orders 1 and 2")
+        raise InvalidArgumentError("blob derivatives exist for orders 1 and 2")
     return np.where(inside, -2 * shape / bessel_i(order, alpha), 0.0)
 
 

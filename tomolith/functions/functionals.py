@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tomolith.errors import InvalidArgumentError
 from tomolith.functions import columns as C
 from tomolith.operators.linear import Identity, LinearOperator, Product, Scaled, Scaling, Sum
 from tomolith.plans.descriptor import Blocks, Grid, best_block
@@ -33,7 +34,7 @@ class Functional:
 
     def __call__(self, x: Vector) -> float:
         if x.size != self.domain.size:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         return self.evaluate(x)
 
     def __add__(self, other: Functional) -> Functional:
@@ -48,7 +49,7 @@ class Functional:
 class FunctionalSum(Functional):
     def __init__(self, f: Functional, g: Functional):
         if f.domain.size != g.domain.size:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         self.f, self.g, self.domain = f, g, f.domain
 
     def evaluate(self, x: Vector) -> float:
@@ -88,7 +89,7 @@ class L1Norm(_OnGrid):
 class WeightedL1Norm(Functional):
     def __init__(self, weights: Vector):
         if weights.min() < 0:
-            raise ValueError("weights must not be negative")
+            raise InvalidArgumentError("weights must not be negative")
         self.weights, self.domain = weights, weights.desc
 
     def evaluate(self, x: Vector) -> float:
@@ -129,7 +130,7 @@ class LinearResidual:
 
     def __init__(self, a: LinearOperator | None = None, b: Vector | None = None, domain: Grid | None = None):
         if a is not None and b is not None and a.range.size != b.size:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         self.a, self.b = a, b
         self.domain = a.domain if a is not None else b.desc if b is not None else domain
 
@@ -176,7 +177,7 @@ class WeightedL2Squared(Functional):
 class LeastSquares(Functional):
     def __init__(self, a: LinearOperator, b: Vector):
         if a.range.size != b.size:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         self.a, self.b, self.domain = a, b, a.domain
 
     def evaluate(self, x: Vector) -> float:
@@ -194,7 +195,7 @@ class WeightedLeastSquares(Functional):
 
     def __init__(self, a: LinearOperator, b: Vector, weights: Vector):
         if not a.range.size == b.size == weights.size:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         self.a, self.b, self.weights, self.domain = a, b, weights, a.domain
 
     def evaluate(self, x: Vector) -> float:
@@ -210,7 +211,7 @@ class WeightedLeastSquares(Functional):
 class Huber(Functional):
     def __init__(self, domain: Grid, delta: float = 1e-6):
         if delta <= 0:
-            raise ValueError("delta must be positive")
+            raise InvalidArgumentError("delta must be positive")
         self.domain, self.delta = domain, float(delta)
 
     def evaluate(self, x: Vector) -> float:
@@ -227,7 +228,7 @@ class Huber(Functional):
 class PseudoHuber(Functional):
     def __init__(self, domain: Grid, delta: float = 1.0):
         if delta <= 0:
-            raise ValueError("delta must be positive")
+            raise InvalidArgumentError("delta must be positive")
         self.domain, self.delta = domain, float(delta)
 
     def _s(self, v: Column) -> Column:
@@ -341,7 +342,7 @@ class SeparableSum(Functional):
 
     def _blocks(self, x: Vector) -> list[Vector]:
         if not isinstance(self.domain, Blocks) or x.size != self.domain.size:
-            raise ValueError("a block vector is needed")
+            raise InvalidArgumentError("a block vector is needed")
         x = x.view_as(self.domain)
         return [x.block(i) for i in range(len(self.parts))]
 
@@ -375,7 +376,7 @@ class Constraint:
 
     def __init__(self, a: LinearOperator, b: LinearOperator, c: Vector):
         if not a.range.size == b.range.size == c.size:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         self.a, self.b, self.c = a, b, c
 
 

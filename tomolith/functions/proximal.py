@@ -7,6 +7,7 @@ from typing import Protocol
 
 from pyspark.sql import functions as F
 
+from tomolith.errors import InvalidArgumentError
 from tomolith.functions import columns as C
 from tomolith.plans.descriptor import Blocks, Grid
 from tomolith.plans.vector import Vector, concatenate, lincomb, small
@@ -18,7 +19,7 @@ class ProximalOperator(Protocol):
 
 def prox_apply(p: ProximalOperator, v: Vector, t: float) -> Vector:
     if t <= 0:
-        raise ValueError("the threshold must be positive")
+        raise InvalidArgumentError("the threshold must be positive")
     return p.apply(v, t)
 
 
@@ -57,7 +58,7 @@ class ProximalL2Squared:
 class ProximalHuber:
     def __init__(self, delta: float = 1e-4):
         if delta <= 0:
-            raise ValueError("delta must be positive")
+            raise InvalidArgumentError("delta must be positive")
         self.delta = delta
 
     def apply(self, v: Vector, t: float) -> Vector:
@@ -102,6 +103,6 @@ class CombinedProximal:
 
     def apply(self, v: Vector, t: float) -> Vector:
         if not isinstance(v.desc, Blocks) or v.blocks != len(self.parts):
-            raise ValueError("as many blocks as proximal operators are needed")
+            raise InvalidArgumentError("as many blocks as proximal operators are needed")
         done = [p.apply(v.block(i), t) for i, p in enumerate(self.parts)]
         return concatenate(*[d.view_as(Grid((d.size,))) for d in done]).view_as(v.desc)

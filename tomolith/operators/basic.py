@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomolith.errors import InvalidArgumentError, OutOfRangeError
 from tomolith.functions import columns as C
 from tomolith.plans.descriptor import Grid, identical_blocks
 from tomolith.plans.vector import Vector
@@ -23,10 +24,10 @@ class FiniteDifferences(Rule):
 
     def __init__(self, grid: Grid, kind: str = FORWARD, active: Sequence[bool] | None = None):
         if kind not in self.STENCILS:
-            raise ValueError("kind is forward, backward or central")
+            raise InvalidArgumentError("kind is forward, backward or central")
         active = [True] * grid.ndim if active is None else list(active)
         if len(active) != grid.ndim or not any(active):
-            raise ValueError("one flag for each dimension is needed, and one at least set")
+            raise InvalidArgumentError("one flag for each dimension is needed, and one at least set")
         self.kind, self.dims = kind, [d for d, a in enumerate(active) if a]
         self.domain, self.range = grid, identical_blocks(grid, len(self.dims))
 
@@ -71,13 +72,13 @@ class Dictionary(Relation):
 
     def atom(self, j: int) -> Vector:
         if not 0 <= j < self.n_atoms:
-            raise IndexError(j)
+            raise OutOfRangeError(j)
         return Vector(self.atoms.where(F.col("atom") == j).select("idx", "val"), self.range)
 
     def with_atom(self, j: int, v: Vector) -> Dictionary:
         """A dictionary in which atom j is replaced (and normalised)."""
         if not 0 <= j < self.n_atoms or v.size != self.range.size:
-            raise IndexError(j)
+            raise OutOfRangeError(j)
         rest = self.atoms.where(F.col("atom") != j)
         return Dictionary(rest.unionByName(v.df.select(F.lit(j).cast("long").alias("atom"), "idx", "val")), self.range, self.n_atoms)
 
@@ -101,14 +102,14 @@ def diagonal(a: LinearOperator, spark: SparkSession) -> Vector:
     elif isinstance(a, Product):
         left, right = a.first.relation(spark), a.second.relation(spark)
         if left is None or right is None:
-            raise ValueError("the factors have no relations")
+            raise InvalidArgumentError("the factors have no relations")
         merge = lambda r: r.groupBy("row", "col").agg(F.sum("w").alias("w"))
         left, right = merge(left).alias("l"), merge(right).alias("r")
         rows = left.join(right, (F.col("l.col") == F.col("r.row")) & (F.col("l.row") == F.col("r.col"))).select(F.col("l.row").alias("idx"), (F.col("l.w") * F.col("r.w")).alias("val"))
     else:
         entries = a.relation(spark)
         if entries is None:
-            raise ValueError("the operator has no relation")
+            raise InvalidArgumentError("the operator has no relation")
         rows = entries.where("row = col").select(F.col("row").alias("idx"), F.col("w").alias("val"))
     zero = spark.range(a.domain.size).select(F.col("id").alias("idx"), F.lit(0.0).alias("val"))
     return Vector(rows.unionByName(zero).groupBy("idx").agg(F.sum("val").alias("val")), a.domain)
@@ -119,6 +120,6 @@ class JacobiPreconditioner(Scaling):
 
     def __init__(self, a: LinearOperator, spark: SparkSession, inverse: bool = True):
         if a.domain.size != a.range.size:
-            raise ValueError("a square operator is needed")
+            raise InvalidArgumentError("a square operator is needed")
         d = diagonal(a, spark)
         super().__init__(a.domain, d.map(lambda v: C.div0(F.lit(1.0), v)) if inverse else d)

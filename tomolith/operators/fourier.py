@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomolith.errors import BadCastError, InvalidArgumentError
 from tomolith.functions import columns as C
 from tomolith.plans.descriptor import Grid, identical_blocks
 from tomolith.plans.vector import Vector, small
@@ -27,7 +28,7 @@ FORWARD, ORTHO, BACKWARD = "forward", "ortho", "backward"
 def transform(df: DataFrame, grid: Grid, norm: str, inverse: bool) -> DataFrame:
     """Transforms (idx, re, im) along all dimensions; idx may count several grids one after the other."""
     if norm not in (FORWARD, ORTHO, BACKWARD):
-        raise ValueError("norm is forward, ortho or backward")
+        raise InvalidArgumentError("norm is forward, ortho or backward")
     for n, stride in zip(grid.shape, grid.strides, strict=True):
         if n == 1:
             continue
@@ -42,7 +43,7 @@ def transform(df: DataFrame, grid: Grid, norm: str, inverse: bool) -> DataFrame:
                     yield done(held.iloc[:full], n)
                     held = held.iloc[full:]
             if len(held):
-                raise ValueError("a line is incomplete: the vector is not dense")
+                raise InvalidArgumentError("a line is incomplete: the vector is not dense")
 
         def done(part: pd.DataFrame, n: int) -> pd.DataFrame:
             z = (part["re"].to_numpy() + 1j * part["im"].to_numpy()).reshape(-1, n)
@@ -83,7 +84,7 @@ class FourierTransform(LinearOperator):
     def apply(self, x: Vector) -> Vector:
         self._check(x)
         if not x.is_complex:
-            raise TypeError("the Fourier transform takes complex vectors")
+            raise BadCastError("the Fourier transform takes complex vectors")
         return (ifft if self.inverse else fft)(x, self.norm)
 
     def adjoint(self) -> LinearOperator:
@@ -99,7 +100,7 @@ class ShearletTransform(LinearOperator):
 
     def __init__(self, grid: Grid, scales: int | None = None, spectra: DataFrame | None = None):
         if grid.ndim != 2:
-            raise ValueError("shearlets are two-dimensional")
+            raise InvalidArgumentError("shearlets are two-dimensional")
         self.scales = int(math.log2(max(grid.shape)) / 2) if scales is None else scales
         self.layers = 2 ** (self.scales + 2) - 3
         self.domain, self.range = grid, identical_blocks(grid, self.layers)

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomolith.errors import InvalidArgumentError
 from tomolith.functions import columns as C
 from tomolith.plans.descriptor import Blocks, Grid, best_block, best_common
 from tomolith.plans import vector as V
@@ -41,7 +42,7 @@ class LinearOperator:
 
     def _check(self, x: Vector) -> None:
         if x.size != self.domain.size:
-            raise ValueError(f"operator takes vectors of size {self.domain.size}, not {x.size}")
+            raise InvalidArgumentError(f"operator takes vectors of size {self.domain.size}, not {x.size}")
 
     def __call__(self, x: Vector) -> Vector:
         return self.apply(x)
@@ -102,7 +103,7 @@ class Relation(LinearOperator):
 
     def apply_adjoint(self, y: Vector) -> Vector:
         if y.size != self.range.size:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         return contract(self.entries if self.by_row is None else self.by_row, y, self.domain, "col", "row")
 
     def adjoint(self) -> LinearOperator:
@@ -151,7 +152,7 @@ class Scaling(LinearOperator):
 
     def __init__(self, grid: Grid, factor: float | Vector):
         if isinstance(factor, Vector) and factor.size != grid.size:
-            raise ValueError("one factor for each coefficient is needed")
+            raise InvalidArgumentError("one factor for each coefficient is needed")
         self.domain = self.range = grid
         self.factor = factor
 
@@ -197,7 +198,7 @@ class Product(LinearOperator):
 
     def __init__(self, first: LinearOperator, second: LinearOperator):
         if first.domain.size != second.range.size:
-            raise ValueError("inner sizes differ")
+            raise InvalidArgumentError("inner sizes differ")
         self.first, self.second = first, second
         self.domain, self.range = second.domain, first.range
 
@@ -232,7 +233,7 @@ class BlockOperator(LinearOperator):
 
     def __init__(self, parts: list[LinearOperator], kind: str, domain: Grid | None = None, range_: Grid | None = None):
         if kind not in (self.ROW, self.COL) or not parts:
-            raise ValueError("parts and a kind, row or col, are needed")
+            raise InvalidArgumentError("parts and a kind, row or col, are needed")
         self.parts, self.kind = list(parts), kind
         if kind == self.ROW:
             self.domain, self.range = domain or best_common(*[p.domain for p in parts]), range_ or best_block([p.range for p in parts])
@@ -240,7 +241,7 @@ class BlockOperator(LinearOperator):
             self.domain, self.range = domain or best_block([p.domain for p in parts]), range_ or best_common(*[p.range for p in parts])
         blocks, sizes = (self.range, [p.range.size for p in parts]) if kind == self.ROW else (self.domain, [p.domain.size for p in parts])
         if not isinstance(blocks, Blocks) or [p.size for p in blocks.parts] != sizes:
-            raise ValueError("blocks do not fit the operators")
+            raise InvalidArgumentError("blocks do not fit the operators")
         self.blocks = blocks
 
     def relation(self, spark: SparkSession) -> DataFrame | None:
@@ -297,7 +298,7 @@ class Rule(LinearOperator):
 
     def apply_adjoint(self, y: Vector) -> Vector:
         if y.size != self.range.size:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         return self._spread(y, self.of_row(F.col("idx")), self.domain)
 
     def adjoint(self) -> LinearOperator:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomolith.errors import InvalidArgumentError
 from tomolith.functions import basis as B
 from tomolith.plans import geometry as G
 from tomolith.plans.descriptor import Grid
@@ -155,9 +156,9 @@ class RayProjector(Relation):
 
     def __init__(self, volume: Grid, detector: G.Detector, spark: SparkSession):
         if volume.ndim not in (2, 3) or detector.ndim != volume.ndim:
-            raise ValueError("volume and detector must both have two or three dimensions")
+            raise InvalidArgumentError("volume and detector must both have two or three dimensions")
         if not detector.poses:
-            raise ValueError("a detector with poses is needed")
+            raise InvalidArgumentError("a detector with poses is needed")
         per_pose, shape, weights = detector.pixels.size, volume.shape, self.tracer()
         self.volume, self.detector, self.spark = volume, detector, spark
 
@@ -224,7 +225,7 @@ class VoxelProjector(Relation):
 
     def __init__(self, volume: Grid, detector: G.Detector, spark: SparkSession):
         if volume.ndim not in (2, 3) or detector.ndim != volume.ndim:
-            raise ValueError("volume and detector must both have two or three dimensions")
+            raise InvalidArgumentError("volume and detector must both have two or three dimensions")
         lut, weight, per_pose, shape = self._lut(volume.ndim), self._weight, detector.pixels.size, detector.shape[:-1]
         strides = np.cumprod([1, *shape[:-1]])
         self.volume, self.detector, self.spark = volume, detector, spark

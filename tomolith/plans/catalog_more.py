@@ -13,11 +13,12 @@ from tomolith.functions import functionals as FN
 from tomolith.operators import linear as OL
 from tomolith.sources import files as IO
 from tomolith.sources import phantoms as PH
+from tomolith.streaming.frames import reconstruct_stream
 
 from . import geometry as G
 from . import recipes
 from . import tables as T
-from .catalog import FLAGS, IMAGE, TRADE, SB, X, Y, _by_flag, _vec, add, scalars, shown
+from .catalog import FLAGS, IMAGE, SB, TRADE, X, Y, _by_flag, _pgd_sql, _vec, add, scalars, shown
 from .descriptor import Grid
 from .vector import Vector, concatenate
 
@@ -235,3 +236,23 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
 
 add("file_raw_short", _raw, "SELECT g AS idx, (g * 3.0 - 50)::DOUBLE AS val FROM range(63) t(g)")
 
+
+
+# --- a stream of frames --------------------------------------------------------------------------------
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """Two frames as files, b and 2 b, read as a stream and solved one after the other."""
+    folder = f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+    a, b = T.segments(s, d)
+    for k in (0, 1):
+        (b * (k + 1.0)).df.select(F.lit(k).cast("long").alias("frame"), "idx", "val").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    frames = s.readStream.schema("frame long, idx long, val double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    a = a.persisted()
+    try:
+        reconstruct_stream(a, frames, f"{folder}/out", f"{folder}/state", 3, once=True).awaitTermination()
+    finally:
+        a.unpersist()
+    out = s.read.parquet(f"{folder}/out")
+    return out.select(F.col("frame").cast("long").alias("frame"), "idx", (F.round("val", 4) + 0.0).alias("val"))
+
+
+add("stream_frames", _stream, " UNION ALL ".join(f"SELECT {k} AS frame, idx, val FROM ({_pgd_sql(3, 'greatest(val, 0)', True, k + 1)})" for k in (0, 1)))

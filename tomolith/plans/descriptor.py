@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tomolith.errors import InvalidArgumentError
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -24,12 +26,12 @@ class Grid:
     def __post_init__(self) -> None:
         object.__setattr__(self, "shape", tuple(int(n) for n in self.shape))
         if not self.shape or any(n <= 0 for n in self.shape):
-            raise ValueError("sizes must be positive")
+            raise InvalidArgumentError("sizes must be positive")
         spacing = tuple(float(s) for s in self.spacing) or (1.0,) * len(self.shape)
         if len(spacing) != len(self.shape):
-            raise ValueError("one spacing for each dimension is needed")
+            raise InvalidArgumentError("one spacing for each dimension is needed")
         if any(s < 0 for s in spacing):
-            raise ValueError("spacing must not be negative")
+            raise InvalidArgumentError("spacing must not be negative")
         object.__setattr__(self, "spacing", spacing)
 
     @property
@@ -91,7 +93,7 @@ class Blocks(Grid):
 
 def identical_blocks(grid: Grid, n: int) -> Blocks:
     if n <= 0:
-        raise ValueError("at least one block is needed")
+        raise InvalidArgumentError("at least one block is needed")
     return Blocks((*grid.shape, n), (*grid.spacing, 1.0), (grid,) * n)
 
 
@@ -100,18 +102,18 @@ def partition(grid: Grid, n: int | Sequence[int]) -> Blocks:
     last = grid.shape[-1]
     if isinstance(n, int):
         if not 0 < n <= last:
-            raise ValueError("cannot cut into so many slabs")
+            raise InvalidArgumentError("cannot cut into so many slabs")
         sizes = [last // n + (i >= n - last % n) for i in range(n)]
     else:
         sizes = list(n)
         if sum(sizes) != last or any(s <= 0 for s in sizes):
-            raise ValueError("slabs must add up to the last dimension")
+            raise InvalidArgumentError("slabs must add up to the last dimension")
     return Blocks(grid.shape, grid.spacing, tuple(Grid((*grid.shape[:-1], s), grid.spacing) for s in sizes))
 
 
 def random_blocks(parts: Sequence[Grid]) -> Blocks:
     if not parts:
-        raise ValueError("at least one block is needed")
+        raise InvalidArgumentError("at least one block is needed")
     return Blocks((_total(parts),), (), tuple(parts))
 
 
@@ -120,7 +122,7 @@ def best_common(*grids: Grid) -> Grid:
     if len(grids) == 1 and isinstance(grids[0], (list, tuple)):
         grids = tuple(grids[0])
     if not grids:
-        raise ValueError("no descriptors")
+        raise InvalidArgumentError("no descriptors")
     first = grids[0]
     if all(g == first and type(g) is type(first) for g in grids):
         return first
@@ -128,7 +130,7 @@ def best_common(*grids: Grid) -> Grid:
         return Grid(first.shape, first.spacing if all(g.spacing == first.spacing for g in grids) else ())
     if all(g.size == first.size for g in grids):
         return Grid((first.size,))
-    raise ValueError("descriptors of different sizes have nothing in common")
+    raise InvalidArgumentError("descriptors of different sizes have nothing in common")
 
 
 def best_block(grids: Sequence[Grid]) -> Blocks:

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from tomolith.errors import InvalidArgumentError
+
 from .descriptor import Grid
 
 
@@ -92,7 +94,7 @@ class Detector(Grid):
     def __post_init__(self) -> None:
         super().__post_init__()
         if self.poses and len(self.poses) != self.shape[-1]:
-            raise ValueError("one pose for each detector position is needed")
+            raise InvalidArgumentError("one pose for each detector position is needed")
 
     @property
     def pixels(self) -> Grid:
@@ -149,7 +151,7 @@ def _detector_grid(volume: Grid, n: int, size: Sequence[int] | None, spacing: Se
 
 def trajectory_from_angles(degrees: Sequence[float], volume: Grid, s2c: float, c2d: float, principal=None, offset=None, size=None, spacing=None) -> Detector:
     if volume.ndim not in (2, 3):
-        raise ValueError("trajectories are for two or three dimensions")
+        raise InvalidArgumentError("trajectories are for two or three dimensions")
     grid = _detector_grid(volume, len(degrees), size, spacing)
     angles = np.deg2rad(np.asarray(degrees, float))
     if volume.ndim == 2:
@@ -172,7 +174,7 @@ def curved_circle_trajectory(n: int, volume: Grid, arc: float, s2c: float, c2d:
 def sphere_trajectory(n: int, volume: Grid, circles: int, s2c: float, c2d: float) -> Detector:
     """Poses spread over parallel circles in proportion to their circumference; the last takes the rest."""
     if volume.ndim != 3:
-        raise ValueError("sphere trajectories are three-dimensional")
+        raise InvalidArgumentError("sphere trajectories are three-dimensional")
     grid = _detector_grid(volume, n, None, None)
     beta = math.pi * (np.arange(circles) + 1) / (circles + 2) - math.pi / 2
     length = 2 * math.pi * c2d * np.cos(beta)
@@ -185,7 +187,7 @@ def sphere_trajectory(n: int, volume: Grid, circles: int, s2c: float, c2d: float
 def limited_angle_trajectory(n: int, wedge: tuple[float, float], volume: Grid, arc: float, s2c: float, c2d: float, mirrored: bool = True) -> Detector:
     """Poses on an arc without those in the missing wedge (degrees), nor 180 degrees on if mirrored."""
     if volume.ndim != 2:
-        raise ValueError("limited-angle trajectories are two-dimensional")
+        raise InvalidArgumentError("limited-angle trajectories are two-dimensional")
     low, high = wedge
     step = (arc - (high - low) * (2 if mirrored else 1)) / n
     angles = np.arange(math.ceil(arc / step)) * step
@@ -211,7 +213,7 @@ def rotational_distance(a: Pose, b: Pose) -> float:
 def subsets(detector: Detector, n: int, strategy: str = ROUND_ROBIN) -> list[list[int]]:
     """Poses dealt to n subsets, in their order or in order of rotation from the first pose."""
     if n < 2:
-        raise ValueError("two subsets at least")
+        raise InvalidArgumentError("two subsets at least")
     order = list(range(len(detector.poses)))
     if strategy == ROTATIONAL_CLUSTERING:
         order.sort(key=lambda i: (rotational_distance(detector.poses[0], detector.poses[i]), i))

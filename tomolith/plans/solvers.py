@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tomolith.errors import InvalidArgumentError
 from tomolith.functions.functionals import Functional, LeastSquares
 from tomolith.functions.proximal import ProximalOperator
 from tomolith.operators.basic import Dictionary
@@ -29,7 +30,7 @@ Projection = Callable[[Vector], Vector]
 def power_iterations(a: LinearOperator, spark: SparkSession, n: int = 5) -> float:
     """An estimate of the largest eigenvalue of a square operator."""
     if a.domain.size != a.range.size:
-        raise ValueError("a square operator is needed")
+        raise InvalidArgumentError("a square operator is needed")
     u = Vector.full(spark, a.domain, 1.0)
     for _ in range(n):
         u, norm = a.apply(u).saved_norm()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tomolith.errors import InvalidArgumentError
+
 
 def saved(df: DataFrame) -> DataFrame:
     """``df``, checkpointed in the folder that ``spark.checkpoint.dir`` names.
@@ -15,6 +17,6 @@ def saved(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            raise InvalidArgumentError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint(eager=True)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tomolith.errors import BadCastError, InvalidArgumentError, OutOfRangeError
 from tomolith.functions import columns as C
 
 from .descriptor import Blocks, Grid, random_blocks
@@ -51,7 +52,7 @@ class Vector:
         a = np.asarray(array)
         desc = desc or Grid(a.shape)
         if a.size != desc.size:
-            raise ValueError("array and descriptor differ in size")
+            raise InvalidArgumentError("array and descriptor differ in size")
         flat = a.ravel(order="F")
         if np.iscomplexobj(flat):
             parts = [pa.array(np.ascontiguousarray(x, float)) for x in (flat.real, flat.imag)]
@@ -86,7 +87,7 @@ class Vector:
     def validate(self) -> Vector:
         n, low, high, distinct = self.df.agg(F.count("*"), F.min("idx"), F.max("idx"), F.count_distinct("idx")).first()
         if (n, distinct) != (self.size, self.size) or (low, high) != (0, self.size - 1):
-            raise ValueError("a vector needs every index of its descriptor exactly once")
+            raise InvalidArgumentError("a vector needs every index of its descriptor exactly once")
         return self
 
     def same_shape(self, other: Vector) -> bool:
@@ -144,7 +145,7 @@ class Vector:
 
     def zip(self, other: Vector, f: Callable[[Column, Column], Column]) -> Vector:
         if self.size != other.size:
-            raise ValueError("vectors differ in size")
+            raise InvalidArgumentError("vectors differ in size")
         right = small(other.df.select("idx", F.col("val").alias("_other")), other.size)
         return Vector(self.df.join(right, "idx").select("idx", f(F.col("val"), F.col("_other")).alias("val")), self.desc)
 
@@ -153,11 +154,11 @@ class Vector:
         both = isinstance(other, Vector)
         if self.local is not None and f is not C.div0 and (not both or other.local is not None):
             if both and self.size != other.size:
-                raise ValueError("vectors differ in size")
+                raise InvalidArgumentError("vectors differ in size")
             return Vector.from_array(self.spark, f(self.local, other.local if both else other), self.desc)
         if self.is_complex or (both and other.is_complex) or isinstance(other, complex):
             if g is None:
-                raise TypeError("not defined for complex values")
+                raise BadCastError("not defined for complex values")
             up = lambda v, is_complex: v if is_complex else C.complex_of(v)
             if both:
                 return self.zip(other, lambda a, b: g(up(a, self.is_complex), up(b, other.is_complex)))
@@ -310,7 +311,7 @@ class Vector:
 
     def _over_blocks(self, total: Column) -> Vector:
         if not isinstance(self.desc, Blocks) or not self.desc.identical:
-            raise ValueError("identical blocks are needed")
+            raise InvalidArgumentError("identical blocks are needed")
         part = self.desc.parts[0]
         return Vector(self.df.groupBy((F.col("idx") % part.size).alias("idx")).agg(total.alias("val")), part)
 
@@ -325,7 +326,7 @@ class Vector:
     def __getitem__(self, index: int | Sequence[int]) -> float:
         i = index if isinstance(index, int) else self.desc.index(index)
         if not 0 <= i < self.size:
-            raise IndexError(index)
+            raise OutOfRangeError(index)
         return self.df.where(F.col("idx") == i).first()["val"]
 
     def at(self, coordinate: Sequence[int]) -> float:
@@ -336,9 +337,9 @@ class Vector:
 
     def block(self, i: int) -> Vector:
         if not isinstance(self.desc, Blocks):
-            raise ValueError("not a block vector")
+            raise InvalidArgumentError("not a block vector")
         if not 0 <= i < len(self.desc.parts):
-            raise IndexError(i)
+            raise OutOfRangeError(i)
         return self._range(self.desc.offsets[i], self.desc.parts[i])
 
     def _range(self, low: int, grid: Grid) -> Vector:
@@ -351,7 +352,7 @@ class Vector:
         if d.shape[-1] == 1:
             return self
         if not 0 <= i < d.shape[-1]:
-            raise IndexError(i)
+            raise OutOfRangeError(i)
         grid = Grid((*d.shape[:-1], 1), d.spacing)
         return self._range(i * grid.size, grid)
 
@@ -363,18 +364,18 @@ class Vector:
     def with_block(self, i: int, part: Vector) -> Vector:
         """A copy in which block i has the given values."""
         if part.size != self.desc.parts[i].size:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         return self._assigned(self.desc.offsets[i], part)
 
     def with_slice(self, i: int, part: Vector) -> Vector:
         n = self.size // self.desc.shape[-1]
         if part.size != n:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         return self._assigned(i * n, part)
 
     def view_as(self, desc: Grid) -> Vector:
         if desc.size != self.size:
-            raise ValueError("sizes differ")
+            raise InvalidArgumentError("sizes differ")
         return Vector(self.df, desc, self.local)
 
     def fft_shift(self, inverse: bool = False) -> Vector:
@@ -389,7 +390,7 @@ class Vector:
 def lincomb(a: float, x: Vector, b: float, y: Vector) -> Vector:
     """a*x + b*y in one join and one projection, or on the driver if both are held there."""
     if x.size != y.size:
-        raise ValueError("vectors differ in size")
+        raise InvalidArgumentError("vectors differ in size")
     if x.local is not None and y.local is not None:
         return Vector.from_array(x.spark, a * x.local + b * y.local, x.desc)
     if x.is_complex or y.is_complex:
@@ -400,7 +401,7 @@ def lincomb(a: float, x: Vector, b: float, y: Vector) -> Vector:
 def concatenate(*parts: Vector) -> Vector:
     """A block vector of the parts, one after the other."""
     if len({p.desc.ndim for p in parts}) > 1:
-        raise ValueError("parts must have the same number of dimensions")
+        raise InvalidArgumentError("parts must have the same number of dimensions")
     desc = random_blocks([p.desc for p in parts])
     out = parts[0].df
     for p, o in list(zip(parts, desc.offsets, strict=True))[1:]:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tomolith.errors import InvalidArgumentError
 from tomolith.plans.descriptor import Grid
 from tomolith.plans.vector import Vector
 
@@ -32,7 +33,7 @@ WHOLE = 1 << 28
 def edf_header(text: str) -> dict[str, str]:
     """Assignments ``name = value;`` between braces; names in lower case, quotes removed."""
     if not text.startswith("{"):
-        raise ValueError("an EDF header begins with a brace")
+        raise InvalidArgumentError("an EDF header begins with a brace")
     out: dict[str, str] = {}
     part, quote = "", ""
     for ch in text[1:]:
@@ -45,7 +46,7 @@ def edf_header(text: str) -> dict[str, str]:
         elif ch == ";":
             name, sep, value = part.partition("=")
             if not sep:
-                raise ValueError("an EDF header consists of assignments")
+                raise InvalidArgumentError("an EDF header consists of assignments")
             value = value.strip()
             out[name.strip().lower()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
             part = ""
@@ -56,18 +57,18 @@ def edf_header(text: str) -> dict[str, str]:
 
 def _edf_layout(h: dict[str, str]) -> tuple[Grid, str]:
     if "compression" in h and h["compression"].lower() not in ("", "none"):
-        raise ValueError("compressed EDF files are not supported")
+        raise InvalidArgumentError("compressed EDF files are not supported")
     if h.get("byteorder", "LowByteFirst").lower() != "lowbytefirst" or int(h.get("image", 1)) != 1:
-        raise ValueError("only the first image, low byte first, is supported")
+        raise InvalidArgumentError("only the first image, low byte first, is supported")
     shape = []
     while f"dim_{len(shape) + 1}" in h:
         shape.append(int(h[f"dim_{len(shape) + 1}"]))
     kind = h.get("datatype", "").lower()
     if not shape or kind not in EDF_TYPES or "size" not in h:
-        raise ValueError("the EDF header lacks dimensions, a known datatype or the size")
+        raise InvalidArgumentError("the EDF header lacks dimensions, a known datatype or the size")
     grid = Grid(tuple(shape), tuple(map(float, h["spacing"].split())) if "spacing" in h else ())
     if int(h["size"]) != grid.size * np.dtype(EDF_TYPES[kind]).itemsize:
-        raise ValueError("the size in the header does not fit the dimensions")
+        raise InvalidArgumentError("the size in the header does not fit the dimensions")
     return grid, EDF_TYPES[kind]
 
 
@@ -81,7 +82,7 @@ def _decoded(spark: SparkSession, path: str, grid: Grid, kind: str, skip: int) -
     fs, p = _place(spark, path)
     item, length = np.dtype(kind).itemsize, fs.getFileStatus(p).getLen()
     if length < skip + grid.size * item:
-        raise ValueError("the file is shorter than its image")
+        raise InvalidArgumentError("the file is shorter than its image")
     if length > WHOLE:
         return _records(spark, path, grid, kind, skip, length)
 
@@ -101,7 +102,7 @@ def _records(spark: SparkSession, path: str, grid: Grid, kind: str, skip: int, l
     item = np.dtype(kind).itemsize
     even = math.gcd(skip, length, 1 << 16)
     if even % item:
-        raise ValueError("header and elements of a large file must be aligned")
+        raise InvalidArgumentError("header and elements of a large file must be aligned")
 
     def cells(record: tuple[bytes, int]) -> list[tuple[int, float]]:
         content, number = record
@@ -143,7 +144,7 @@ def read_edf(spark: SparkSession, path: str) -> Vector:
     raw = _head(spark, path)
     end = raw.find(b"}\n")
     if end < 0:
-        raise ValueError("the EDF header does not end")
+        raise InvalidArgumentError("the EDF header does not end")
     grid, kind = _edf_layout(edf_header(raw[: end + 1].decode("latin-1")))
     return _decoded(spark, path, grid, kind, end + 2)
 
@@ -168,13 +169,13 @@ def read_mhd(spark: SparkSession, path: str) -> Vector:
     at = head.lower().find(b"elementdatafile")
     end = head.find(b"\n", at) + 1 or len(head)
     if at < 0:
-        raise ValueError("a MetaImage header names its data")
+        raise InvalidArgumentError("a MetaImage header names its data")
     h = mhd_header(head[:end].decode("latin-1"))
     shape = tuple(map(int, h["dimsize"].split()))
     if int(h.get("ndims", len(shape))) != len(shape) or h["elementtype"] not in MHD_TYPES:
-        raise ValueError("the MetaImage header is not consistent")
+        raise InvalidArgumentError("the MetaImage header is not consistent")
     if h.get("elementbyteordermsb", "False").lower() == "true":
-        raise ValueError("only low byte first is supported")
+        raise InvalidArgumentError("only low byte first is supported")
     grid = Grid(shape, tuple(map(float, h["elementspacing"].split())) if "elementspacing" in h else ())
     name = h["elementdatafile"]
     if name.upper() == "LOCAL":  # the data follow the header
@@ -205,7 +206,7 @@ def write_pgm(v: Vector, path: str) -> None:
     if len(shape) == 3 and shape[2] == 1:
         shape = shape[:2]
     if len(shape) != 2:
-        raise ValueError("PGM holds two-dimensional images")
+        raise InvalidArgumentError("PGM holds two-dimensional images")
     r = v.reduce(low=F.min("val"), high=F.max("val"))
     span = r["high"] - r["low"]
     factor = 255 / span if span >= 2.0**-23 else 0.0
@@ -223,7 +224,7 @@ def read(spark: SparkSession, path: str) -> Vector:
         return read_edf(spark, path)
     if kind in (".mhd", ".mha"):
         return read_mhd(spark, path)
-    raise ValueError(f"cannot read files of type {kind or 'none'}")
+    raise InvalidArgumentError(f"cannot read files of type {kind or 'none'}")
 
 
 def write(v: Vector, path: str) -> None:
@@ -237,4 +238,4 @@ def write(v: Vector, path: str) -> None:
     elif kind == ".mha":
         write_mhd(v, path)
     else:
-        raise ValueError(f"cannot write files of type {kind or 'none'}")
+        raise InvalidArgumentError(f"cannot write files of type {kind or 'none'}")

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tomolith.errors import InvalidArgumentError
 from tomolith.functions import basis as B
 from tomolith.plans.descriptor import Grid
 from tomolith.plans.vector import Vector
@@ -53,7 +54,7 @@ def scale_shift(grid: Grid, value: float) -> int:
 def _square(shape: Sequence[int]) -> Grid:
     grid = Grid(tuple(shape))
     if grid.ndim not in (2, 3) or len(set(grid.shape)) > 1:
-        raise ValueError("a square or a cube is needed")
+        raise InvalidArgumentError("a square or a cube is needed")
     return grid
 
 
@@ -132,7 +133,7 @@ class Solid:
             length, a, b = self.half
             inside = (F.abs(p[self.axis]) <= float(length)) & (u * u / float(a * a) + v * v / float(b * b) <= 1)
         else:
-            raise ValueError(f"no such solid: {self.kind}")
+            raise InvalidArgumentError(f"no such solid: {self.kind}")
         return inside if self.clip_x is None else inside & (xyz[0] <= float(self.clip_x))
 
 
@@ -212,7 +213,7 @@ def draw_ellipses(image: Vector, ellipses: Sequence[Ellipse]) -> Vector:
     """Adds filled ellipses to a 2-D image, pixel by pixel on the executors; what leaves the image is cut off."""
     grid = image.desc
     if grid.ndim != 2:
-        raise ValueError("ellipses are drawn into images of two dimensions")
+        raise InvalidArgumentError("ellipses are drawn into images of two dimensions")
 
     def value(i: Column) -> Column:
         x, y = grid.column(i, 0), grid.column(i, 1)
