@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -9,7 +11,7 @@ from tomolith.operators import linear as OL
 from tomolith.operators import projectors as OP
 from tomolith.plans import geometry as G
 from tomolith.plans.descriptor import Grid, identical_blocks
-from tomolith.plans.vector import Vector, concatenate
+from tomolith.plans.vector import Vector, concatenate, lincomb
 
 RNG = np.random.default_rng(1)
 
@@ -198,9 +200,12 @@ def test_a_laid_out_relation_is_not_shuffled_again(spark, monkeypatch):
             out = op.apply(vec(spark, v))
             assert np.allclose(out.to_array().ravel(), want)
             plan = out.df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
-            assert "InMemoryTableScan" in plan
-            before_join = plan[plan.index("SortMergeJoin") :] if "SortMergeJoin" in plan else plan[plan.index("Join") :]
-            assert before_join.count("Exchange hashpartitioning") - before_join[before_join.index("InMemoryRelation") :].count("Exchange hashpartitioning") <= 1  # the vector's
+            assert "InMemoryTableScan" in plan and not re.search(r"Exchange hashpartitioning\((row|col)#\d+L?, \d+\), ENSURE_REQUIREMENTS", plan), plan
+        y1, y2 = (a.apply(vec(spark, x) * s).saved() for s in (1.0, 2.0))
+        total = lincomb(1.0, y1, 1.0, y2)
+        plan = total.df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "Exchange" not in plan, plan  # saved vectors meet where they are
+        assert np.allclose(total.saved().to_array().ravel(), 3 * m @ x)
         a.unpersist()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

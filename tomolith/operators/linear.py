@@ -18,6 +18,7 @@ from tomolith.errors import InvalidArgumentError
 from tomolith.functions import columns as C
 from tomolith.plans.descriptor import Blocks, Grid, best_block, best_common
 from tomolith.plans import vector as V
+from tomolith.plans.storage import kept
 from tomolith.plans.vector import Vector, small
 
 
@@ -116,7 +117,7 @@ class Relation(LinearOperator):
         if max(self.domain.size, self.range.size) <= V.BROADCAST_ROWS:
             return Relation(self.entries.persist(), self.domain, self.range)
         n = int(self.entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        laid = lambda key, size: self.entries.repartition(n, key).persist() if size > V.BROADCAST_ROWS else None
+        laid = lambda key, size: kept(self.entries.repartition(n, key)) if size > V.BROADCAST_ROWS else None
         by_col, by_row = laid("col", self.domain.size), laid("row", self.range.size)
         return Relation(by_row if by_col is None else by_col, self.domain, self.range, by_col, by_row)
 

@@ -21,7 +21,7 @@ from tomolith.errors import BadCastError, InvalidArgumentError, OutOfRangeError
 from tomolith.functions import columns as C
 
 from .descriptor import Blocks, Grid, random_blocks
-from .storage import saved
+from .storage import saved_as_dealt
 
 #: Rows of (idx, val) that a join may broadcast: 16 MB.
 BROADCAST_ROWS = 1_000_000
@@ -122,7 +122,7 @@ class Vector:
         if self.local is not None:
             return self
         if self.size > LOCAL_ROWS:
-            return Vector(saved(self.df), self.desc)
+            return Vector(saved_as_dealt(self.df), self.desc)
         t = self.df.toArrow().combine_chunks()
         idx, val = t.column("idx").to_numpy(), t.column("val").combine_chunks()
         values = val.field("re").to_numpy(zero_copy_only=False) + 1j * val.field("im").to_numpy(zero_copy_only=False) if self.is_complex else val.to_numpy(zero_copy_only=False)
@@ -136,7 +136,7 @@ class Vector:
             v = self.saved()
             return v, v.squared_l2()
         seen = Observation()
-        v = Vector(saved(self.df.observe(seen, self._squares().alias("n"))), self.desc)
+        v = Vector(saved_as_dealt(self.df.observe(seen, self._squares().alias("n"))), self.desc)
         return v, float(seen.get["n"] or 0.0)
 
     # --- element-wise ----------------------------------------------------------------
