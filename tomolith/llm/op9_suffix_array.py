@@ -93,3 +93,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Windows are cut from pairs of neighbouring pieces of SIZE bytes, as hex digits.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+q AS (SELECT doc_id, n, j, substr(h, {2 * SIZE} * j + 1, {4 * SIZE}) AS two FROM (SELECT doc_id, h, n, unnest(range(n // {SIZE} + 1)) AS j FROM d)),
+k AS MATERIALIZED (SELECT doc_id, {SIZE} * j + r AS i, md5_number(substr(two, 2 * r + 1, {2 * SIZE})) AS m FROM q, range({SIZE}) t(r) WHERE {SIZE} * j + r + {SIZE} <= n),
+c AS (SELECT m FROM k GROUP BY m HAVING count(*) > 1),
+w AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM k WHERE m IN (SELECT m FROM c)),
+s AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + {SIZE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM w),
+e AS (SELECT doc_id, span, min(i) AS a, max(i) + {SIZE} AS b FROM s GROUP BY 1, 2),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM e),
+r AS (SELECT doc_id, count(*) AS spans, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
