@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomolith.errors import Error
 from tomolith.functions import basis as B
 from tomolith.functions import columns as C
 from tomolith.functions import functionals as FN
@@ -15,6 +18,7 @@ from tomolith.sources import files as IO
 from tomolith.sources import phantoms as PH
 from tomolith.streaming.frames import reconstruct_stream
 
+from . import descriptor as D
 from . import geometry as G
 from . import recipes
 from . import tables as T
@@ -256,3 +260,68 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 
 add("stream_frames", _stream, " UNION ALL ".join(f"SELECT {k} AS frame, idx, val FROM ({_pgd_sql(3, 'greatest(val, 0)', True, k + 1)})" for k in (0, 1)))
+
+
+# --- places, sizes, shapes ---------------------------------------------------------------------------
+def _places(s: SparkSession, d: str) -> DataFrame:
+    """Every coordinate of a box in order, with its index."""
+    rows = [(i, *map(int, c)) for i, c in enumerate(D.cartesian_indices((2, 1, 3), (5, 4, 6)))]
+    return s.createDataFrame(rows, "n long, x long, y long, z long")
+
+
+add("cartesian_indices", _places, "SELECT row_number() OVER (ORDER BY x, y, z) - 1 AS n, x, y, z FROM range(2, 5) a(x), range(1, 4) b(y), range(3, 6) c(z)")
+
+
+def _refused(s: SparkSession, d: str) -> DataFrame:
+    """Whether wrong sizes and places are refused: 1 for each that raises."""
+    calls = {
+        "array": lambda: Vector.from_array(s, np.zeros(5), Grid((2, 3))), "sum": lambda: Vector.full(s, Grid((3,))) + Vector.full(s, Grid((4,))), "place": lambda: Vector.full(s, Grid((3,)))[3],
+        "view": lambda: Vector.full(s, Grid((3,))).view_as(Grid((2, 2))), "grid": lambda: Grid((0, 2)), "file": lambda: IO.read(s, "a.txt"),
+    }
+    out = {}
+    for name, call in calls.items():
+        try:
+            call()
+            out[name] = 0.0
+        except Error:
+            out[name] = 1.0
+    return scalars(s, **out)
+
+
+add("refused_arguments", _refused, "SELECT 1.0::DOUBLE AS array, 1.0::DOUBLE AS sum, 1.0::DOUBLE AS place, 1.0::DOUBLE AS view, 1.0::DOUBLE AS grid, 1.0::DOUBLE AS file")
+add("phantom_scale", lambda s, d: s.createDataFrame([(n, k, PH.scale(Grid((n, n)), k / 20), PH.scale_shift(Grid((n, n)), k / 20 - 0.5)) for n in (16, 33, 128) for k in range(21)], "n long, k long, size long, place long"), "SELECT n, k, round(k / 20.0 * (n - 1) / 2)::BIGINT AS size, round((k / 20.0 - 0.5) * (n - 1) / 2)::BIGINT + n // 2 AS place FROM (VALUES (16::BIGINT), (33), (128)) t(n), range(21) u(k)")
+add(
+    "phantom_ellipse", lambda s, d: shown(PH.draw_ellipses(Vector.full(s, Grid((64, 64)), 0.5), [PH.Ellipse(2.0, (30, 33), (14, 9)), PH.Ellipse(1.0, (30, 33), (9, 20))])),
+    """WITH e(k, amp, a, b) AS (VALUES (1, 2.0, 14, 9), (2, 1.0, 9, 20)),
+f AS (SELECT k, a, b, y, coalesce(max(x) FILTER (WHERE y <= b AND 2 * b * b * x * x + a * a * (y * y + (y - 1) * (y - 1)) <= 2 * a * a * b * b), -1) AS flat, coalesce(max(x) FILTER (WHERE b * b * (x * x + (x - 1) * (x - 1)) + 2 * a * a * y * y <= 2 * a * a * b * b), -1) AS steep FROM e, range(40) t(y), range(40) u(x) GROUP BY 1, 2, 3, 4),
+w AS MATERIALIZED (SELECT f.k, f.y, CASE WHEN f.y > f.b THEN -1 WHEN f.b * f.b * greatest(f.flat, n.flat + 1) < f.a * f.a * f.y THEN greatest(f.flat, n.flat + 1) WHEN f.b * f.b * f.steep >= f.a * f.a * f.y THEN f.steep ELSE -1 END AS width FROM f JOIN f n ON n.k = f.k AND n.y = f.y + 1)
+SELECT g AS idx, round(0.5 + sum(CASE WHEN abs(g % 64 - 30) <= coalesce(width, -1) THEN amp ELSE 0 END), 6)::DOUBLE AS val FROM range(4096) t(g) CROSS JOIN e LEFT JOIN w ON w.k = e.k AND w.y = abs(64 - g // 64 - 33) GROUP BY g""",
+)
+add("trajectory_curved", lambda s, d: _poses(G.curved_circle_trajectory(10, Grid((32, 32)), 90, 100.0, 20.0, 0.8), s), "SELECT i AS pose, round(16 - 100 * sin(radians(10.0 * i)), 6) + 0.0 AS c0, round(16 - 100 * cos(radians(10.0 * i)), 6) + 0.0 AS c1 FROM range(10) t(i)")
+add(
+    "neighbours_in_slice", lambda s, d: s.createDataFrame([tuple(map(int, c)) for c in D.neighbours_in_slice((3, 0, 6), 2, 1, (0, 0, 0), (8, 8, 8))], "x long, y long, z long"),
+    "SELECT x, 0::BIGINT AS y, z FROM range(1, 6) a(x), range(4, 8) b(z)",
+)
+
+
+def _forbild(s: SparkSession, d: str) -> DataFrame:
+    """A head-sized phantom from a table of three solids in centimetres, the last on top."""
+    path = f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/solids-{uuid.uuid4().hex}"
+    rows = [("ellipsoid", 1.0, 0.0, 0.0, 0.0, 9.0, 11.0, 8.0, 0), ("sphere", 2.0, 2.0, -3.0, 1.0, 4.0, 4.0, 4.0, 1), ("box", 3.0, -3.0, 2.0, 0.0, 2.0, 3.0, 2.0, 2), ("sphere", 4.0, 0.0, 0.0, 0.0, 0.3, 0.3, 0.3, 3)]
+    s.createDataFrame([(*r[:8], 0.0, 0.0, 0.0, 2, None, r[8]) for r in rows], PH.SOLIDS).write.parquet(path)
+    return shown(PH.forbild(s, 21, "head", path))
+
+
+_AT, _LONG = "round(({v} + 12.8) * 20 / 25.6)", "({v} * 20 / 25.6)"
+
+
+def _away(axis: str, centre: float, half: float, power: bool) -> str:
+    offset = f"({axis} - {_AT.format(v=centre)})"
+    return f"pow({offset} / {_LONG.format(v=half)}, 2)" if power else f"abs({offset}) <= {_LONG.format(v=half)}"
+
+
+add(
+    "phantom_forbild", _forbild,
+    f"""SELECT g AS idx, (CASE WHEN {" AND ".join(_away(a, c, h, False) for a, c, h in (("x", -3.0, 2.0), ("y", 2.0, 3.0), ("z", 0.0, 2.0)))} THEN 3 WHEN {" + ".join(_away(a, c, 4.0, True) for a, c in (("x", 2.0), ("y", -3.0), ("z", 1.0)))} <= 1 THEN 2
+WHEN {" + ".join(_away(a, 0.0, h, True) for a, h in (("x", 9.0), ("y", 11.0), ("z", 8.0)))} <= 1 THEN 1 ELSE 0 END)::DOUBLE AS val FROM (SELECT g, g % 21 AS x, (g // 21) % 21 AS y, g // 441 AS z FROM range(9261) t(g))""",
+)

@@ -6,8 +6,11 @@ axis (Joseph), radial weights around rays (blobs, B-splines) and around projecte
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tomolith.functions import functionals as FN
 from tomolith.operators import projectors as OP
@@ -19,6 +22,7 @@ from . import solvers as S
 from . import tables as T
 from .catalog import IMAGE, add, scalars, shown
 from .descriptor import Grid
+from .vector import Vector
 
 N, PIXELS, POSES, S2C, C2D, SHIFT = 32, 45, 12, 3200.0, 32.0, 0.37
 #: Oblique angles; with the shifted principal point no ray runs along a grid line.
@@ -93,11 +97,7 @@ def _forward(entries: str, weight: str = "w", digits: int = 4) -> str:
 _SINO = f"(SELECT g AS idx, (g % 7) / 4.0 + (g % {PIXELS}) / 10.0 AS val FROM range({POSES * PIXELS}) t(g))"
 
 
-def _sinogram(s: SparkSession):  # noqa: ANN202
-    from pyspark.sql import functions as F
-
-    from .vector import Vector
-
+def _sinogram(s: SparkSession) -> Vector:
     return Vector.generate(s, fan(), lambda i: (i % 7) / F.lit(4.0) + (i % PIXELS) / F.lit(10.0))
 
 
@@ -140,10 +140,6 @@ def _positions(s: SparkSession) -> DataFrame:
 
 def _subsets(s: SparkSession) -> DataFrame:
     """The measurements of each subset, with the subset in front."""
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
     sampler = OP.SubsetSampler(Grid((N, N)), fan(), 3)
     parts = [v.df.select(F.lit(k).cast("long").alias("subset"), "idx", (F.round("val", 6) + 0.0).alias("val")) for k, v in enumerate(sampler.data(_sinogram(s)))]
     return reduce(DataFrame.unionByName, parts)
@@ -189,3 +185,28 @@ def _reconstruction(s: SparkSession, d: str) -> DataFrame:
 
 
 add("reconstruction", _reconstruction, "SELECT 1.0::DOUBLE AS good")
+
+# --- three dimensions ---------------------------------------------------------------------------------
+#: A volume of 8 x 8 x 8 seen from five poses on a circle, by an 11 x 11 detector.
+_CUBE, _POSES3 = 8, (11.0, 47.0, 83.0, 128.0, 161.0)
+
+
+def _cone() -> G.Detector:
+    return G.trajectory_from_angles(_POSES3, Grid((_CUBE,) * 3), 400.0, 8.0, principal=(0.23, 0.31))
+
+
+def _cube(s: SparkSession) -> Vector:
+    return Vector.generate(s, Grid((_CUBE,) * 3), lambda i: (i * 7 % 11) / F.lit(4.0))
+
+
+_BOX3 = "greatest(least(-ox / dx, (8 - ox) / dx), least(-oy / dy, (8 - oy) / dy), least(-oz / dz, (8 - oz) / dz)) AS t0, least(greatest(-ox / dx, (8 - ox) / dx), greatest(-oy / dy, (8 - oy) / dy), greatest(-oz / dz, (8 - oz) / dz)) AS t1"
+_RAYS3 = f"""pose AS (SELECT row_number() OVER () - 1 AS pose, sin(radians(a)) AS s, cos(radians(a)) AS c FROM (VALUES {", ".join(f"({a})" for a in _POSES3)}) t(a)),
+ray0 AS (SELECT pose * 121 + j * 11 + i AS ray, 4 + 400 * s AS ox, 4.0 AS oy, 4 - 400 * c AS oz, (i + 0.5 - 5.5 - 0.23) / 408 AS x, (j + 0.5 - 5.5 - 0.31) / 408 AS y, s, c FROM pose, range(11) t(i), range(11) u(j)),
+ray AS (SELECT ray, ox, oy, oz, (c * x - s) / sqrt(1 + x * x + y * y) AS dx, y / sqrt(1 + x * x + y * y) AS dy, (s * x + c) / sqrt(1 + x * x + y * y) AS dz FROM ray0),
+hit AS MATERIALIZED (SELECT * FROM (SELECT *, {_BOX3} FROM ray) WHERE t1 > t0)"""
+_CUTS = " UNION ALL ".join(f"SELECT *, (k - o{v}) / d{v} AS t FROM hit, range(9) p(k)" for v in "xyz")
+_SIDDON3 = f"""{_RAYS3}, cut AS (SELECT ray, ox, oy, oz, dx, dy, dz, greatest(least(t, t1), t0) AS t FROM ({_CUTS})),
+seg AS (SELECT ray, floor(ox + dx * (t + e) / 2) AS a, floor(oy + dy * (t + e) / 2) AS b, floor(oz + dz * (t + e) / 2) AS c, e - t AS w FROM (SELECT *, lead(t) OVER (PARTITION BY ray ORDER BY t) AS e FROM cut)),
+entry AS MATERIALIZED (SELECT ray, (a + 8 * b + 64 * c)::BIGINT AS voxel, w FROM seg WHERE w > 1e-9 AND a BETWEEN 0 AND 7 AND b BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7)"""
+add("sinogram_siddon_3d", lambda s, d: shown(OP.SiddonsMethod(Grid((_CUBE,) * 3), _cone(), s).apply(_cube(s)), 4), f"WITH {_SIDDON3} SELECT g AS idx, round(coalesce(v, 0), 4) + 0.0 AS val FROM range(605) t(g) LEFT JOIN (SELECT ray, sum(w * (voxel * 7 % 11) / 4.0) AS v FROM entry GROUP BY ray) ON ray = g")
+add("backprojection_siddon_3d", lambda s, d: shown(OP.SiddonsMethod(Grid((_CUBE,) * 3), _cone(), s).apply_adjoint(Vector.full(s, _cone(), 1.0)), 4), f"WITH {_SIDDON3} SELECT g AS idx, round(coalesce(v, 0), 4) + 0.0 AS val FROM range(512) t(g) LEFT JOIN (SELECT voxel, sum(w) AS v FROM entry GROUP BY voxel) ON voxel = g")
