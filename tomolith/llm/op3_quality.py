@@ -46,11 +46,16 @@ def _repeat_words(words: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
         return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + 3 - F.greatest(a["end"] - p, F.lit(0))).alias("n"), (p + 3).alias("end")), lambda a: a["n"])
 
-    def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.struct(F.xxhash64(h[i], h[i + 1], h[i + 2]).alias("h"), i.alias("i")))
+    def of(h: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2]))
 
-    sorted_ = N.let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.sort_array(windows(h)))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(N.let(sorted_, counted))
+        def among(w: Column) -> Column:  # most texts repeat no window, and need no sorting
+            placed = F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+            return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(N.let(F.sort_array(placed), counted))
+
+        return N.let(windows, among)
+
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(N.let(F.transform(words, lambda w: F.xxhash64(w)), of))
 
 
 def metrics(text: Column) -> Column:
