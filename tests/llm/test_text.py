@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 from html.parser import HTMLParser
 
@@ -48,6 +49,20 @@ def test_sliding_min():
         assert K.sliding_min(key, width).tolist() == want
 
 
+def tokens(text):
+    return re.findall(r"[^\W_]+", (text or "").casefold())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aZ9_ \n.-éßİ“漢\u0301٣", max_size=14), max_size=5))
+def test_words_are_runs_of_letters_and_digits(texts):
+    ids, at = op2_decontaminate.words_of(texts)
+    want = [w for x in texts for w in tokens(x)]
+    assert np.diff(at).tolist() == [len(tokens(x)) for x in texts] and len(ids) == len(want)
+    names = dict(zip(want, ids.tolist(), strict=True))
+    assert [names[w] for w in want] == ids.tolist() and len(set(names.values())) == len(names)
+
+
 def naive_tiles(p, t, least):
     """Greedy string tiling by its definition: always the longest common unmarked stretch."""
     p, t, out = list(p), list(t), []
@@ -103,8 +118,8 @@ def test_decontamination_against_the_definition(spark):
     want = []
     for d, t in docs:
         for k, x in items:
-            p = op2_decontaminate.tokens(x)
-            n = naive_tiles(p, op2_decontaminate.tokens(t), 5) if len(p) >= 5 else []
+            p = tokens(x)
+            n = naive_tiles(p, tokens(t), 5) if len(p) >= 5 else []
             if n and sum(n) >= 0.6 * len(p):
                 want.append((d, k, len(p), sum(n), len(n)))
     got = op2_decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))

@@ -131,9 +131,10 @@ class Words:
     at: np.ndarray
 
 
-def words(c: Chunk) -> Words:
+def words(c: Chunk, letters: np.ndarray = _NON_WHITE) -> Words:
+    """Maximal runs of the bytes that the table ``letters`` marks."""
     n = len(c.data)
-    inside = _NON_WHITE[c.data]
+    inside = letters[c.data]
     before = np.zeros(n + 1, bool)
     before[1:] = inside
     before[c.off[:-1]] = False  # a document's first byte has nothing before it

@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words of a document and of a benchmark item are compared by their ids in the item
-vocabulary. A shared run of ``MIN_MATCH`` words is a seed; items whose seeds could cover
-the threshold are tiled: running Karp-Rabin marks the longest common unmarked stretches
+Words of a document and of a benchmark item are compared by 63-bit hashes. A shared run of
+``MIN_MATCH`` words is a seed, found in a sorted array of all seeds behind a bitmap; items whose
+seeds could cover the threshold are tiled, over the words that their seeds cover in the document: running Karp-Rabin marks the longest common unmarked stretches
 first, then shorter ones, never overlapping, so passages in another order are found too.
 A pair is reported when the tiles cover at least ``THRESHOLD`` of the item's words.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -29,17 +29,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import anchors as A
 from . import kernels as K
 
 MIN_MATCH = 5
 THRESHOLD = 0.6
 #: Characters of benchmark text that one block may hold on average; each block takes a scan of the documents.
-BLOCK_CHARS = 16_000_000
-_WORD = re.compile(r"[^\W_]+")
+BLOCK_CHARS = 64_000_000
+#: What is no word beyond ASCII; in ASCII the table of bytes tells.
+_FOREIGN = re.compile(r"[^\w\x00-\x7f]+")
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").casefold())
+def words_of(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and the words before each text."""
+    parts = []
+    for text in texts:
+        low = (text or "").casefold()
+        parts.append((low if low.isascii() else _FOREIGN.sub(" ", low)).encode("utf-8", "surrogatepass"))
+    off = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int64)
+    c = K.Chunk(0, np.frombuffer(b"".join(parts), np.uint8), off)
+    w = K.words(c, _LETTERS)
+    return (K.word_hashes(c, w) >> np.uint64(1)).view(np.int64), w.at
+
+
+def seeds_of(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs of MIN_MATCH words inside a text: hash, text and place in the text."""
+    start = np.flatnonzero(np.repeat(at[1:], np.diff(at)) - np.arange(len(ids)) >= MIN_MATCH)
+    text = np.searchsorted(at, start, "right") - 1
+    return K.Rolling(ids).windows(MIN_MATCH)[start] if len(start) else np.zeros(0, np.uint64), text, start - at[text]
 
 
 def _spread(n: int, at: np.ndarray, size: int) -> np.ndarray:
@@ -114,49 +133,52 @@ def tiles(p: np.ndarray, t: np.ndarray, min_match: int = MIN_MATCH) -> list[tupl
 
 
 class Index:
-    """Seeds of the items of one block."""
+    """Seeds of the items of one block, sorted, with a bitmap in front of them."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.vocabulary: dict[str, int] = {}
-        self.items, seeds, owners, places = [], [], [], []
-        for id_, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(text)], np.int64)
-            if len(ids) >= MIN_MATCH:
-                seeds.append(K.Rolling(ids).windows(MIN_MATCH))
-                owners.append(np.full(len(seeds[-1]), len(self.items)))
-                places.append(np.arange(len(seeds[-1])))
-                self.items.append((id_, ids))
-        self.seed, self.owner, self.place = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((seeds, np.uint64), (owners, np.int64), (places, np.int64)))
-        order = np.argsort(self.seed, kind="stable")
-        self.seed, self.owner, self.place = self.seed[order], self.owner[order], self.place[order]
+        self.names = [id_ for id_, _ in items]
+        self.ids, self.at = words_of(t for _, t in items)
+        seed, owner, place = seeds_of(self.ids, self.at)
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.owner, self.place = seed[order], owner[order].astype(np.int32), place[order].astype(np.int32)
+        self.bits = np.zeros(1 << max(10, (8 * len(seed)).bit_length() - 3), np.uint8)
+        b = (seed & np.uint64(len(self.bits) * 8 - 1)).astype(np.int64)
+        np.bitwise_or.at(self.bits, b >> 3, np.uint8(1) << (b & 7).astype(np.uint8))
+
+    def search_all(self, texts: list[str | None], threshold: float) -> Iterator[tuple[int, tuple]]:
+        """(number of the text, match) for each pair at or above the threshold."""
+        ids, at = words_of(texts)
+        seed, text, place = seeds_of(ids, at)
+        hit = np.flatnonzero(A.in_bitmap(self.bits, seed))
+        seed, text, place = seed[hit], text[hit], place[hit]
+        real = np.searchsorted(self.seed, seed, "right") > np.searchsorted(self.seed, seed, "left")
+        seed, text, place = seed[real], text[real], place[real]
+        for mine in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1):
+            if len(mine):
+                d = int(text[mine[0]])
+                for match in self._search(ids[at[d] : at[d + 1]], seed[mine], place[mine], threshold):
+                    yield d, match
 
     def search(self, text: str | None, threshold: float) -> list[tuple]:
-        found = tokens(text)
-        get = self.vocabulary.get
-        t = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
-        if len(t) < MIN_MATCH or not len(self.seed):
-            return []
-        known = np.append(0, np.cumsum(t >= 0))
-        at = np.flatnonzero(known[MIN_MATCH:] - known[:-MIN_MATCH] == MIN_MATCH)
-        if not len(at):
-            return []
-        hashes = np.unique(K.Rolling(t).windows(MIN_MATCH)[at])
+        return [match for _, match in self.search_all([text], threshold)]
+
+    def _search(self, t: np.ndarray, seed: np.ndarray, at: np.ndarray, threshold: float) -> Iterator[tuple]:
+        hashes = np.unique(seed)
         lo, hi = np.searchsorted(self.seed, hashes, "left"), np.searchsorted(self.seed, hashes, "right")
         rows = K.slices_of(lo, hi - lo)
-        out = []
         rows = rows[np.argsort(self.owner[rows], kind="stable")]
-        owner, place = self.owner[rows], self.place[rows]
-        for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(owner)) + 1):
-            if not len(at):
-                continue
-            id_, p = self.items[owner[at[0]]]
-            if _spread(len(p), place[at], MIN_MATCH).sum() < threshold * len(p):
+        owner = self.owner[rows]
+        for group in np.split(rows, np.flatnonzero(np.diff(owner)) + 1):
+            item = self.owner[group[0]]
+            p = self.ids[self.at[item] : self.at[item + 1]]
+            if _spread(len(p), self.place[group], MIN_MATCH).sum() < threshold * len(p):
                 continue  # even if all seeds were tiles
-            got = tiles(p, t)
+            shared = _spread(len(t), at[np.isin(seed, self.seed[group])], MIN_MATCH)
+            first, last = np.flatnonzero(shared)[[0, -1]]  # every tile consists of seeds
+            got = tiles(p, np.where(shared, t, -1)[first : last + 1])
             covered = sum(n for _, _, n in got)
             if covered >= threshold * len(p):
-                out.append((id_, len(p), covered, len(got)))
-        return out
+                yield self.names[item], len(p), covered, len(got)
 
 
 _LAST: list[tuple[str, Index]] = []
@@ -183,7 +205,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _index(name, shared)
             for batch in batches:
-                out = [(id_, *x, th) for id_, text, th in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True) for x in index.search(text.as_py(), threshold)]
+                out = []
+                for c in K.chunks(batch.column(1)):
+                    texts = batch.column(1).slice(c.first, len(c)).to_pylist()
+                    out += [(batch.column(0)[c.first + d].as_py(), *x, batch.column(2)[c.first + d].as_py()) for d, x in index.search_all(texts, threshold)]
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "n_words", "n_covered", "n_tiles", "th"])
