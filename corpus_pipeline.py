@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomolith.llm import native, op1_lines, op2_decontaminate, op3_quality, op6_packing, op10_jaccard
+from tomolith.llm.components import saved
 
 #: Shingle size and similarity of near copies; op10's query has a contract of its own.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 #: Share of a document's characters that boilerplate may be; beyond it the document is a copy.
 SPARE = 0.5
+#: Ids and hashes that may be broadcast: 16 MB.
+BROADCAST_IDS = 1 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -58,7 +61,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; rows that share an id are told apart by their text."""
     pairs = op2_decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = pairs.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    found = saved(pairs.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    if found.count() <= BROADCAST_IDS:  # documents then stay where they are
+        found = F.broadcast(found)
     th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (th == found["_th"]), "left_anti").select(*COLUMNS)
 
