@@ -17,10 +17,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tomolith.llm import native, op1_lines, op2_decontaminate, op3_quality, op6_packing, op10_jaccard
+from tomolith.llm import anchors, native, op1_lines, op2_decontaminate, op3_quality, op6_packing, op10_jaccard
 from tomolith.llm.components import saved
 
 #: Shingle size and similarity of near copies; op10's query has a contract of its own.
@@ -47,15 +49,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays (of rows with that id, the one with the least text hash)."""
+    """Of each group of near copies the document with the least id stays (of rows with that id, the one with the least text hash).
+
+    Only rows that a bitmap of the ids and hashes of copies marks are dealt out, to tell copies from what it marks besides; all others stay where they are.
+    """
     groups = op10_jaccard.near_duplicates(docs, words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
-    last = F.lit(2**63 - 1)
-    key = lambda c: F.coalesce(F.col(c), last)
-    linked = groups.where("n_shingles > 0").groupBy(key("component_id").alias("c")).agg(F.min(F.struct(key("id").alias("k"), F.col("th").alias("t"))).alias("first")).select("first.k", "first.t")
-    alone = groups.where("n_shingles = 0").select(key("id").alias("k"), F.col("th").alias("t")).distinct()
-    keyed = docs.withColumns({"k": key("doc_id"), "t": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = keyed.join(linked.unionByName(alone), ["k", "t"], "left_semi")
-    return kept.withColumn("_row", F.row_number().over(Window.partitionBy("k", "t").orderBy("source"))).where("_row = 1").select(*COLUMNS)
+    key = lambda c: F.coalesce(F.col(c), F.lit(2**63 - 1))
+    texts = saved(groups.groupBy(key("id").alias("k"), F.col("th").alias("t")).agg(F.count("*").alias("n"), F.max(F.when(F.col("n_shingles") > 0, key("component_id"))).alias("c")))
+    first = saved(texts.where("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("k", "t")).alias("first"), F.count("*").alias("m")).where("m > 1").select("c", "first"))
+    if first.count() <= BROADCAST_IDS:  # a large group then needs no task of its own
+        first = F.broadcast(first)
+    later = saved(texts.join(first, "c").where(F.struct("k", "t") != F.col("first")).select("k", "t"))
+    marked = saved(later.unionByName(texts.where("n > 1").select("k", "t")).select(F.xxhash64("k", "t").alias("key")))
+    shared = spark.sparkContext.broadcast(anchors.bitmap_of(marked, marked.count()))
+
+    @F.arrow_udf("boolean")
+    def may_go(hashed: pa.Array) -> pa.Array:
+        return pa.array(anchors.in_bitmap(np.frombuffer(shared.value, np.uint8), hashed.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    keyed = docs.select(*COLUMNS).withColumns({"k": key("doc_id"), "t": F.xxhash64(F.coalesce("text", F.lit("")))}).withColumn("may_go", may_go(F.xxhash64("k", "t")))
+    kept = keyed.where("may_go").join(later, ["k", "t"], "left_anti")
+    once = kept.withColumn("_row", F.row_number().over(Window.partitionBy("k", "t").orderBy("source"))).where("_row = 1")
+    return keyed.where("NOT may_go").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,6 +168,27 @@ def test_parts_lose_no_link_at_80_percent():
                 assert set(key[owner == 0]) & set(key[owner == 1]), n
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_parts_are_as_few_as_linked_sets_allow(num):
+    """No more parts are dealt out than the most that two linked sets of a level and its next can differ in; at the borders of levels none is lost."""
+    edge, most, spare = op10_jaccard.levels(num, 100)
+    rng = np.random.default_rng(13)
+    differ = lambda a, b: a + b - 2 * -(-num * (a + b) // (num + 100))
+    for j in range(30):
+        low, high = range(int(edge[j]), int(edge[j + 1])), range(int(edge[j]), int(edge[j + 2]))
+        assert most[j] == max(differ(a, b) for b in low for a in high if 100 * min(a, b) >= num * max(a, b)), j
+        for a, b in [(high[-1], low[-1]), (low[-1], low[-1]), (high[-1], high[-1]), (high[-1], int(edge[j + 1])), (int(edge[j + 1]), low[0])]:
+            if 100 * min(a, b) < num * max(a, b):
+                continue
+            both = -(-num * (a + b) // (num + 100))
+            h = rng.integers(0, 2**63, a + b - both).astype(np.uint64)
+            x, y = np.sort(h[:a]), np.sort(np.append(h[:both], h[a:]))
+            x_y = np.append(x, y)
+            for common in (None, x_y % 3 < 2):
+                owner, key = op10_jaccard.parts(x_y, np.array([0, a, a + b]), num, 100, common)
+                assert set(key[owner == 0]) & set(key[owner == 1]), (a, b)
+
+
 def test_connected(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(components.connected(spark.createDataFrame(chain, "a long, b long")).collect())

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import os
 import subprocess
 import sys
@@ -99,6 +100,28 @@ def test_near_copies_at_five_words_and_80_percent(spark, sf_dir):
     assert sorted(r.component_id for r in op10_jaccard.near_duplicates(docs).collect()) == [0, 1, 2, 3]
 
 
+def shuffled_bytes(spark):
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_copies_leave_other_documents_in_place(spark, sf_dir, tmp_path):
+    """Texts that nothing is like are not dealt out; copies, repeated rows and rows without words are told apart as before."""
+    text = lambda k: " ".join(hashlib.sha512(f"{k} {i}".encode()).hexdigest() for i in range(300))
+    rows = [(k, text(k), "s") for k in range(60)]
+    rows += [(60 + k, text(k) + " end", "s") for k in range(3)] + [(1, text(1), "a"), (70, text(2), "s"), (71, "", "s"), (72, " ", "s"), (71, "", "b"), (None, None, "s"), (None, None, "s")]
+    docs = spark.createDataFrame([(d, t, "en", s, 1) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = shuffled_bytes(spark)
+    got = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), sf_dir).collect()]
+    sent = shuffled_bytes(spark) - before
+    want = [r for r in rows[:60] if r[0] != 1] + [(1, text(1), "a"), (71, "", "b"), (72, " ", "s"), (None, None, "s")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sent < sum(len(t or "") for _, t, _ in rows) / 2
+
+
 def test_sql_agrees(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "labels", "conversations"):

@@ -94,12 +94,12 @@ def class_ids(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def levels(num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size levels: first size of each, and for the sets of levels j and j+1 the most shingles d in which two linked ones differ, and how many of the parts need not be used."""
+    """Size levels: first size of each, and for a set of level j and one of level j or j+1 the most shingles d in which they differ if linked, and how many of the parts need not be used."""
     edge = [1]
     while edge[-1] < 1 << 40:
         edge.append(max(edge[-1] + 1, (edge[-1] - 1) * den // num + 1))
     e = np.array(edge, np.int64)
-    d = 2 * (e[2:] - 1) * (den - num) // (den + num)
+    d = (e[1:-1] + e[2:] - 2) * (den - num) // (den + num)  # two sets of level j+1 meet by the parts of that level
     return e, d, (d + 2) // 5
 
 
