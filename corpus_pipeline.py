@@ -55,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = op10_jaccard.near_duplicates(docs, words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
     key = lambda c: F.coalesce(F.col(c), F.lit(2**63 - 1))
-    texts = saved(groups.groupBy(key("id").alias("k"), F.col("th").alias("t")).agg(F.count("*").alias("n"), F.max(F.when(F.col("n_shingles") > 0, key("component_id"))).alias("c")))
+    texts = saved(groups.groupBy(key("id").alias("k"), F.col("th").alias("t")).agg(F.count("*").alias("n"), F.max(F.when(F.col("n_shingles") > 0, F.col("label"))).alias("c")))
     first = saved(texts.where("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("k", "t")).alias("first"), F.count("*").alias("m")).where("m > 1").select("c", "first"))
     if first.count() <= BROADCAST_IDS:  # a large group then needs no task of its own
         first = F.broadcast(first)

@@ -122,6 +122,14 @@ def test_near_copies_leave_other_documents_in_place(spark, sf_dir, tmp_path):
     assert sent < sum(len(t or "") for _, t, _ in rows) / 2
 
 
+def test_unlike_texts_of_one_id_are_no_copies(spark, sf_dir):
+    text = lambda k: " ".join(f"{k}x{i}" for i in range(40))
+    rows = [(5, text("a")), (5, text("b")), (None, text("c")), (None, text("d")), (6, text("b") + " end"), (None, text("d") + " end")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text[:1]) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(5, "a"), (5, "b"), (None, "c"), (None, "d")], key=str)
+
+
 def test_sql_agrees(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "labels", "conversations"):
